@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeseam.llm import bpe, pack, repetition, split
+from codeseam.llm import bpe, docpairs, pack, repetition, secrets, split
 from codeseam.session import table
 
 
@@ -18,6 +18,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.where(F.col("piece_no") == 1).select(F.col("id").alias("chunk_id"))
 
 
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "corpus_files"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pairs(spark, sf_dir).select("symbol_id")
+
+
+def p3_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_credentials(table(spark, sf_dir, "chunks"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.credential_lines(table(spark, sf_dir, "chunks")).withColumnRenamed("id", "chunk_id")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redact_credentials(table(spark, sf_dir, "chunks"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -37,6 +57,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
+    "p3_found": p3_found,
+    "p3_credentials": p3_credentials,
+    "p3_redacted": p3_redacted,
     "p7_ids": p7_ids,
     "p8_packed": p8_packed,
     "p9_found": p9_found,
