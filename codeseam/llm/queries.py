@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeseam.llm import bpe, docpairs, pack, repetition, secrets, split
+from codeseam.llm import bpe, docpairs, pack, provenance, repetition, secrets, split
 from codeseam.session import table
 
 
@@ -38,6 +38,14 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redact_credentials(table(spark, sf_dir, "chunks"))
 
 
+def p6_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.classify(table(spark, sf_dir, "corpus_files"), table(spark, sf_dir, "index_rows"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_labels(spark, sf_dir).where(F.col("label") != "handwritten").select("file_id")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -62,6 +70,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_credentials": p3_credentials,
     "p3_redacted": p3_redacted,
+    "p6_found": p6_found,
+    "p6_labels": p6_labels,
     "p7_ids": p7_ids,
     "p8_packed": p8_packed,
     "p9_found": p9_found,
