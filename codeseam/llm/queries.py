@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeseam.llm import bpe, docpairs, pack, provenance, repetition, secrets, split
+from codeseam.llm import bpe, docpairs, pack, provenance, repetition, secrets, split, validity
 from codeseam.session import table
 
 
@@ -38,6 +38,18 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redact_credentials(table(spark, sf_dir, "chunks"))
 
 
+def p4_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.check_syntax(table(spark, sf_dir, "corpus_files"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_checked(spark, sf_dir).where(F.col("n_faults") > 0).select("file_id")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.broken_rates(p4_checked(spark, sf_dir), table(spark, sf_dir, "index_rows"))
+
+
 def p6_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.classify(table(spark, sf_dir, "corpus_files"), table(spark, sf_dir, "index_rows"))
 
@@ -70,6 +82,9 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_credentials": p3_credentials,
     "p3_redacted": p3_redacted,
+    "p4_found": p4_found,
+    "p4_checked": p4_checked,
+    "p4_rates": p4_rates,
     "p6_found": p6_found,
     "p6_labels": p6_labels,
     "p7_ids": p7_ids,
