@@ -94,7 +94,7 @@ def symbols_of(text: str, language: str | None) -> list[Symbol]:
         kind = next((k for k in ("function", "class", "interface", "type", "constant", "method") if k in pattern.groupindex and m[k]), None)
         if kind is None or m[kind] in _NOT_NAMES:
             continue
-        name, groups = m[kind], m.groupdict()
+        name, groups, group = m[kind], m.groupdict(), kind
         if language == "go":
             exported = name[:1].isupper()
             kind = "method" if groups.get("receiver") else {"struct": "class", "interface": "interface"}.get(groups.get("of") or "", kind)
@@ -108,8 +108,8 @@ def symbols_of(text: str, language: str | None) -> list[Symbol]:
             if kind == "constant" and groups["indent"]:
                 continue
             exported = bool(groups.get("export"))
-        first = bisect_right(starts, m.start(kind))
-        last = bisect_right(starts, _end(plain, m.start(kind)))
+        first = bisect_right(starts, m.start(group))
+        last = bisect_right(starts, _end(plain, m.start(group)))
         out.append((name, kind, lines[first - 1].strip(), first, max(first, last), exported))
     return out
 
