@@ -44,8 +44,11 @@ def split_identifiers(text: Text, min_length: int = 3, most: int = 128) -> Colum
 
 def with_subtokens(content: Text) -> Column:
     """The text that is matched: the content and, on a line of its own, its identifiers' parts."""
-    parts = split_identifiers(content)
-    return F.when(F.size(parts) > 0, F.concat(_col(content), F.lit("\n"), F.array_join(parts, " "))).otherwise(_col(content))
+    own = _col(content)
+    added = F.transform(  # over one element, so that the parts are found once
+        F.array(split_identifiers(content)), lambda parts: F.when(F.size(parts) > 0, F.concat(own, F.lit("\n"), F.array_join(parts, " "))).otherwise(own)
+    )
+    return F.get(added, F.lit(0))
 
 
 def search_tokens(text: Text) -> Column:

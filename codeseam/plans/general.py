@@ -13,7 +13,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.fold(*(table(spark, sf_dir, t) for t in ("scanned_files", "files", "index_runs")))
+    return ledger.fold(*(table(spark, sf_dir, t) for t in ("scanned_files", "files", "index_runs"))).drop("done_token")
 
 
 QUERIES = {"p5_found": p5_found, "p5_ledger": p5_ledger}
@@ -44,5 +44,5 @@ WITH terms AS (
 
 ORACLES = {
     "p5_found": _LEDGER + "SELECT index_id, path FROM ledger WHERE state = 'pending'",
-    "p5_ledger": _LEDGER + "SELECT * FROM ledger",
+    "p5_ledger": _LEDGER + "SELECT * EXCLUDE (done_token) FROM ledger",
 }
