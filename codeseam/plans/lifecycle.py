@@ -169,7 +169,7 @@ def _usage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_USAGE = "WITH u AS (SELECT event_type AS tool, user_id::VARCHAR AS repo_id, count(*) AS calls, max(epoch_ms(ts)) AS last_called_at, sum(octet_length(encode(props)))::BIGINT AS bytes_served, sum(greatest(0, 100 - octet_length(encode(props))))::BIGINT AS bytes_saved FROM events WHERE event_type <> 'error' GROUP BY ALL) "
+_USAGE = "WITH u AS (SELECT event_type AS tool, user_id::VARCHAR AS repo_id, count(*) AS calls, max(epoch_us(ts) // 1000) AS last_called_at, sum(octet_length(encode(props)))::BIGINT AS bytes_served, sum(greatest(0, 100 - octet_length(encode(props))))::BIGINT AS bytes_saved FROM events WHERE event_type <> 'error' GROUP BY ALL) "
 _SUMS = "sum(calls)::BIGINT AS calls, max(last_called_at) AS last_called_at, sum(bytes_served)::BIGINT AS bytes_served, sum(bytes_saved)::BIGINT AS bytes_saved"
 
 
