@@ -150,7 +150,7 @@ class Python(Parser):
         return end
 
     def formatted(self, at: int, mark: str, raw: bool) -> int:
-        """The end of a formatted string, or -1; its expressions are checked later."""
+        """The end of a formatted string, or -1 if its braces or marks do not close; its expressions are checked later."""
         text, n = self.text, len(self.text)
         while at < n:
             c = text[at]
@@ -168,7 +168,9 @@ class Python(Parser):
                 if at < 0:
                     return -1
             elif c == "}":
-                at += 2 if text.startswith("}}", at) else 1
+                if not text.startswith("}}", at):
+                    return -1
+                at += 2
             elif c == "\n" and len(mark) == 1:
                 return -1
             else:

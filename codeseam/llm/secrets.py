@@ -410,7 +410,9 @@ def credential_lines(df: DataFrame, key: str = "id", **columns: str) -> DataFram
 
 
 def redact_credentials(df: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
-    """All rows and columns of ``df`` with redacted ``content`` and the number of credentials as ``n_redacted``."""
+    """All rows and columns of ``df`` with redacted ``content`` and the number of credentials as ``n_redacted``, which
+    replaces a column of that name. Null contents stay null with 0 credentials."""
+    df = df.drop("n_redacted")
     schema = T.StructType([*df.schema.fields, T.StructField("n_redacted", T.IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
