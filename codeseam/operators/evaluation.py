@@ -32,15 +32,21 @@ def locate_tasks(symbols: DataFrame) -> DataFrame:
     return one.select(task_id("locate", F.col("query"), paths).alias("id"), F.lit("locate").alias("type"), "query", "symbol", paths.alias("expected_paths"))
 
 
-def relationship_tasks(edges: DataFrame, kind: str) -> DataFrame:
+def relationship_tasks(edges: DataFrame, kind: str, most: int = 20) -> DataFrame:
     """``id, type, query, target_path, expected_paths`` for each path that others call (``callers``) or test
-    (``tests``). The id is of all expected paths, of which the first 20 are listed.
+    (``tests``). The first ``most`` expected paths are listed; the id is of all of them, by their number and the sum of
+    their hashes, so that no list of a hub's callers is ever gathered.
     """
     types = ["tests"] if kind == "tests" else ["imports", "calls", "references"]
     rows = edges.where(F.col("type").isin(types) & (F.col("from_path") != F.col("to_path"))).select("from_path", "to_path").distinct()
-    one = rows.groupBy("to_path").agg(F.array_sort(F.collect_list("from_path")).alias("paths"))  # distinct callers of one file
+    digest = F.sum(F.conv(F.substring(F.sha2("from_path", 256), 1, 12), 16, 10).cast("decimal(38,0)"))
+    all_ = rows.groupBy("to_path").agg(F.count("*").alias("n"), digest.alias("sum"))
+    order = W.partitionBy("to_path").orderBy("from_path")  # limited before it is shuffled
+    first = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most)
+    listed = first.groupBy("to_path").agg(F.array_sort(F.collect_list("from_path")).alias("expected_paths"))
     query = F.concat(F.lit("tests for " if kind == "tests" else "callers of "), P.module_subject("to_path"))
-    return one.select(task_id(kind, query, F.col("paths")).alias("id"), F.lit(kind).alias("type"), query.alias("query"), F.col("to_path").alias("target_path"), F.slice("paths", 1, 20).alias("expected_paths"))
+    of_all = F.array(F.col("n").cast("string"), F.col("sum").cast("string"))
+    return all_.join(listed, "to_path").select(task_id(kind, query, of_all).alias("id"), F.lit(kind).alias("type"), query.alias("query"), F.col("to_path").alias("target_path"), "expected_paths")
 
 
 def usable_subject(subject: Column | str) -> Column:
@@ -156,3 +162,24 @@ def task_digest(tasks: DataFrame) -> DataFrame:
     list, which is never gathered."""
     each = F.conv(F.substring(F.sha2(F.to_json(F.struct("id", "type", "query", "expected_paths")), 256), 1, 12), 16, 10).cast("decimal(38,0)")
     return tasks.agg(F.sha2(F.concat_ws(":", F.count("*"), F.sum(each)), 256).alias("digest"))
+
+
+def exact_nearest_rank(df: DataFrame, keys: list[str], value: str, percent: float, accuracy: int = 1000) -> DataFrame:
+    """``keys, value``: of each group the value at the floor of the share of its length, without gathering the group.
+
+    An approximate percentile with a known error brackets the value; what lies below the bracket is counted, and only
+    the values inside it, a few thousandths of the group and counted by value, are ordered. Nulls do not count.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    share, error = percent / 100, 2.0 / accuracy
+    bracket = rows.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_v", [max(0.0, share - error), min(1.0, share + error)], accuracy).alias("_b")
+    )
+    inside = rows.join(bracket, keys).where(F.col("_v") <= F.col("_b")[1])
+    below = F.count_if(F.col("_v") < F.col("_b")[0])
+    counted = inside.groupBy(*keys).agg(below.alias("_below"), F.first("_n").alias("_n"))
+    by_value = inside.where(F.col("_v") >= F.col("_b")[0]).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    target = F.least(F.col("_n") - 1, F.floor(F.lit(share) * F.col("_n")))
+    running = F.sum("_c").over(W.partitionBy(*keys).orderBy("_v"))
+    placed = by_value.withColumn("_upto", running).join(counted, keys).where(F.col("_below") + F.col("_upto") > target)
+    return placed.groupBy(*keys).agg(F.min("_v").alias(value))

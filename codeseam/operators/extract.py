@@ -38,7 +38,9 @@ _C = re.compile(r"^(?P<static>static\s+)?(?:(?:const|unsigned|signed|struct|enum
 _PATTERNS = {"typescript": _SCRIPT, "javascript": _SCRIPT, "go": _GO, "java": _JAVA, "c": _C, "cpp": _C}
 _NOT_NAMES = frozenset("if for while switch catch return function else do try new await typeof constructor".split()) - {"constructor"}
 
-_IMPORT = re.compile(r"(?:^|[;\n])\s*(?:import|export)\s+(?P<what>(?:type\s+)?[^'\"`;]*?)\s*(?:from\s*)?[\"'](?P<spec>[^\"'\n]+)[\"']")
+_IMPORT = re.compile(
+    r"(?:^|[;\n])\s*(?:import\s+(?:(?P<what>(?:type\s+)?[^'\"`;()=]*?)\s*from\s*)?|export\s+(?P<again>(?:type\s+)?[^'\"`;()=]*?)\s*from\s*)[\"'](?P<spec>[^\"'\n]+)[\"']"
+)
 _DYNAMIC = re.compile(r"(?:(?:const|let|var)\s+(?P<what>[\w$]+|\{[^}]*\})\s*=\s*(?:await\s+)?)?\b(?:require|import)\(\s*[\"'](?P<spec>[^\"'\n]+)[\"']\s*\)")
 
 

@@ -330,8 +330,9 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT user_id, list_sort(list(value))[least(count(*), floor(0.5 * count(*))::BIGINT + 1)] AS p50, list_sort(list(value))[least(count(*), floor(0.95 * count(*))::BIGINT + 1)] AS p95 FROM events GROUP BY 1"
 )
 def nearest_rank_percentile(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return e.select("user_id", S.nearest_rank(F.col("v"), 50).alias("p50"), S.nearest_rank(F.col("v"), 95).alias("p95"))
+    e = table(spark, sf, "events")
+    half = E.exact_nearest_rank(e, ["user_id"], "value", 50).withColumnRenamed("value", "p50")
+    return half.join(E.exact_nearest_rank(e, ["user_id"], "value", 95).withColumnRenamed("value", "p95"), "user_id")
 
 
 @query("SELECT event_id, CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE round((value - lo) / (hi - lo), 9) END AS fts FROM (SELECT event_id, value, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY user_id, event_type))")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
+from collections.abc import Iterator
 from fnmatch import translate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeseam.functions import paths as P
 
@@ -19,24 +23,56 @@ def is_binary(head: Column) -> Column:
     return F.exists(pairs, lambda b: b == "00") | (control > F.size(pairs) * 0.1)
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``uri, path, size, mtime_ms`` of all files below ``root``, those with hidden names too, which Spark's own file
+    sources pass over. Only names and sizes come to the driver."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toString().rstrip("/") + "/"
+    found, rows = fs.listFiles(top, True), []
+    while found.hasNext():
+        f = found.next()
+        uri = f.getPath().toString()
+        rows.append((uri, uri[len(base) :], f.getLen(), f.getModificationTime()))
+    return spark.createDataFrame(rows, "uri string, path string, size long, mtime_ms long")
+
+
+def with_bytes(rows: DataFrame) -> DataFrame:
+    """``rows`` with the ``bytes`` of their ``uri``, read where the rows are; null for a file that cannot be read."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("bytes", T.BinaryType())])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for at in range(0, len(batch), 64):  # a file has at most 5 MiB
+                part, out = batch.iloc[at : at + 64], []
+                for uri in part["uri"]:
+                    try:
+                        system, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+                        with system.open_input_stream(name) as stream:
+                            out.append(stream.read())
+                    except OSError:
+                        out.append(None)
+                yield part.assign(bytes=out)
+
+    return rows.mapInPandas(read, schema)
+
+
 def scan(spark: SparkSession, root: str, listed: list[str] | None = None, ignore: bool = True) -> DataFrame:
     """``path, size, mtime_ms, language, content`` of the text files below ``root``.
 
-    Files above 5 MiB are left out by the source before they are read. ``listed``: the paths that version control
-    knows; without them ignore files are honoured. Denied and binary files are left out.
+    ``listed``: the paths that version control knows; without them ignore files are honoured. Denied paths and files
+    above 5 MiB are never opened; binary files and those that cannot be read are left out.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where(F.col("length") <= P.MAX_FILE_BYTES)
-    depth = len("/" + base.removeprefix("file:").strip("/") + "/")
-    path = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
-    rows = raw.select(F.substr(path, F.lit(depth + 1)).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("content").alias("bytes"))
-    rows = rows.where(~P.denied("path") & ~F.col("path").rlike(r"(^|/)\.git(/|$)"))
+    rows = list_files(spark, root).where((F.col("size") <= P.MAX_FILE_BYTES) & ~P.denied("path") & ~F.col("path").rlike(r"(^|/)\.git/"))
     if listed is not None:
         rows = rows.join(spark.createDataFrame([(p,) for p in listed], "path string"), "path", "left_semi")
     elif ignore:
         rows = without_ignored(rows)
-    text = rows.where(~is_binary(F.col("bytes")))
-    return text.select("path", "size", "mtime_ms", P.language("path").alias("language"), F.decode("bytes", "UTF-8").alias("content"))
+    text = with_bytes(rows).where(F.col("bytes").isNotNull() & ~is_binary(F.col("bytes")))
+    return text.select("path", "size", "mtime_ms", P.language("path").alias("language"), F.make_valid_utf8(F.col("bytes").cast("string")).alias("content"))
 
 
 def ignore_pattern(line: str, folder: str = "") -> tuple[str, bool] | None:
@@ -56,7 +92,7 @@ def ignore_pattern(line: str, folder: str = "") -> tuple[str, bool] | None:
 
 def without_ignored(rows: DataFrame) -> DataFrame:
     """Rows whose path no ignore file on the way to it rules out; a later rule and a deeper file win."""
-    found = rows.where(P.basename("path") == ".gitignore").select("path", F.decode("bytes", "UTF-8").alias("text")).collect()  # ignore files alone
+    found = with_bytes(rows.where(P.basename("path") == ".gitignore")).select("path", F.make_valid_utf8(F.col("bytes").cast("string")).alias("text")).collect()  # ignore files alone
     rules = []
     for r in sorted(found, key=lambda r: (r["path"].count("/"), r["path"])):
         folder = r["path"].rpartition("/")[0]
