@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeseam.session import broadcast_if_small, checkpointed
+
 # -- what a documentation says -----------------------------------------------------------------------------------------
 
 _TAG = re.compile(r"^\s*(?:[@\\](?:\w|\.)+|:[\w ]+:|(?:Args|Arguments|Parameters|Params|Returns?|Raises|Throws|Yields|Examples?|Usage|See also|Since|Version|Section)\s*:|\{@\w+[^}]*\})", re.I)
@@ -184,6 +186,9 @@ def capture(text: str, starts: list[int], start_line: int, end_line: int, indent
     return m["signature"].strip(), text[m.start("signature") : m.end("body")].strip("\r\n"), True
 
 
+#: Symbols of one file that a task holds together, on average.
+SYMBOLS_AT_ONCE = 2_000
+
 # -- the operator ------------------------------------------------------------------------------------------------------
 
 #: What a constant's signature shows if it assigns a function.
@@ -207,14 +212,17 @@ def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
     Taken are functions, methods and constants that assign a function, whose ``doc`` tells what they do. ``code`` is
     the captured declaration; it is the symbol's lines where nothing can be captured (``captured`` is false then), and
     null if the file is missing. Symbols without doc are dropped before the file texts are touched, and each file's
-    text is shuffled once, to the list of its symbols' lines.
+    text is shuffled once, to the list of its symbols' lines; a file with very many symbols is met by several lists.
     """
     wanted = symbols.where(is_function() & F.col("doc").isNotNull()).select("id", "file_id", "name", "kind", "path", "signature", "start_line", "end_line", "doc").distinct()
-    wanted = wanted.where(_tells(F.col("doc"), F.col("name"))).dropDuplicates(["id"])
+    wanted = checkpointed(wanted.where(_tells(F.col("doc"), F.col("name"))).dropDuplicates(["id"]))  # used for counts and for pairs
+    counts = wanted.groupBy("file_id").count().where(F.col("count") > SYMBOLS_AT_ONCE).select(F.col("file_id").alias("_hot"), F.ceil(F.col("count") / SYMBOLS_AT_ONCE).alias("_parts"))
+    wanted = wanted.join(broadcast_if_small(counts), F.col("file_id").eqNullSafe(F.col("_hot")), "left")
+    wanted = wanted.withColumn("_part", F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1))))
     texts = files.select(F.col("file_id").alias("_file"), "content").dropDuplicates(["_file"])
     schema = "symbol_id STRING, name STRING, kind STRING, path STRING, signature STRING, description STRING, code STRING, captured BOOLEAN"
-    per_file = wanted.groupBy("file_id").agg(
-        F.collect_list(F.struct("id", "name", "kind", "path", "signature", "start_line", "end_line", "doc")).alias("symbols")  # the symbols of one file
+    per_file = wanted.groupBy("file_id", "_part").agg(
+        F.collect_list(F.struct("id", "name", "kind", "path", "signature", "start_line", "end_line", "doc")).alias("symbols")  # about SYMBOLS_AT_ONCE
     )
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
