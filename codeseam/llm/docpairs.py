@@ -127,17 +127,17 @@ _C_PARTS = r"""
   (?(DEFINE)
     (?<string> "(?:[^"\\\n]|\\.)*+" | '(?:[^'\\\n]|\\.)*+' | `(?:[^`\\]|\\.)*+` )
     (?<note>   //[^\n]*+ | /\*(?:[^*]|\*(?!/))*+\*/ )
-    (?<round>  \( (?: (?&string) | (?&note) | (?&round) | (?&curly) | [^()"'`{}/] | / )*+ \) )
-    (?<curly>  \{ (?: (?&string) | (?&note) | (?&curly) | [^{}"'`/] | / )*+ \} )
-    (?<square> \[ (?: (?&string) | (?&note) | (?&square) | [^\[\]"'`/] | / )*+ \] )
+    (?<round>  \( (?: (?&string) | (?&note) | (?&round) | (?&curly) | [^()"'`{}/]++ | / )*+ \) )
+    (?<curly>  \{ (?: (?&string) | (?&note) | (?&curly) | [^{}"'`/]++ | / )*+ \} )
+    (?<square> \[ (?: (?&string) | (?&note) | (?&square) | [^\[\]"'`/]++ | / )*+ \] )
   )
 """
 _BRACED = regex.compile(
     _C_PARTS
     + r"""
   (?<comment> (?: [ \t]*+ (?&note) [ \t]*+ \r?\n )*+ )
-  (?<signature> [ \t]*+ (?: (?&string) | (?&round) | (?&square) | (?&note) | => | [^{};()\[\]"'`/\n=] | = | / | \n (?!\s*\n) )*? )
-  (?<body> (?&curly) | (?<==>)\s*+ (?: (?&string) | (?&round) | (?&square) | (?&curly) | [^;\n] )++ )
+  (?<signature> [ \t]*+ (?: (?&string) | (?&round) | (?&square) | (?&note) | => | [^{};()\[\]"'`/\n=]++ | = | / | \n (?!\s*\n) )*? )
+  (?<body> (?&curly) | (?<==>)\s*+ (?: (?&string) | (?&round) | (?&square) | (?&curly) | [^;\n"'`()\[\]{}]++ | [^;\n] )++ )
 """,
     regex.VERBOSE | regex.VERSION1,
 )
@@ -151,11 +151,11 @@ def _indented(indent: str) -> regex.Pattern:
   (?(DEFINE)
     (?<long>   \"{{3}}(?:[^"\\]|\\(?s:.)|"(?!""))*+"{{3}} | \'{{3}}(?:[^'\\]|\\(?s:.)|'(?!''))*+'{{3}} )
     (?<string> (?&long) | "(?:[^"\\\n]|\\(?s:.))*+" | '(?:[^'\\\n]|\\(?s:.))*+' )
-    (?<round>  [(\[{{] (?: (?&string) | \#[^\n]*+ | (?&round) | [^()\[\]{{}}"'\#] )*+ [)\]}}] )
-    (?<rest>   (?: (?&string) | (?&round) | \#[^\n]*+ | [^\n"'()\[\]{{}}\#] )*+ )
+    (?<round>  [(\[{{] (?: (?&string) | \#[^\n]*+ | (?&round) | [^()\[\]{{}}"'\#]++ )*+ [)\]}}] )
+    (?<rest>   (?: (?&string) | (?&round) | \#[^\n]*+ | [^\n"'()\[\]{{}}\#]++ )*+ )
   )
   (?<comment> (?: [ \t]*+ \#[^\n]*+ \n )*+ )
-  (?<signature> (?: [ \t]*+ @ (?&rest) \n )*+ [ \t]*+ (?:async[ ]+)?+ (?:def|class)\b (?: (?&string) | (?&round) | [^:\n"'()\[\]{{}}] )*+ : )
+  (?<signature> (?: [ \t]*+ @ (?&rest) \n )*+ [ \t]*+ (?:async[ ]+)?+ (?:def|class)\b (?: (?&string) | (?&round) | [^:\n"'()\[\]{{}}]++ )*+ : )
   (?<body> (?&rest) (?: \n (?: [ \t\r]*+ (?=\n|\Z) | {indent.replace(" ", "[ ]").replace(chr(9), "[" + chr(92) + "t]")}[ \t]++ (?&rest) ) )*+ )
 """,
         regex.VERBOSE | regex.VERSION1,
