@@ -192,6 +192,8 @@ _ASSIGN = re.compile(rf"(?P<k>{_NAME})[\"'`\]]*(?:\s*:\s*(?:[\w<>\[\]|*& ]+))?\s
 _PAIR = re.compile(rf"[\"'](?P<k>{_NAME})[\"']\s*,\s*{_QUOTED}")
 _ATTRIBUTE = re.compile(rf"\b(?:name|key|id)\s*=\s*[\"'](?P<k>{_NAME})[\"'][^<>\n]*?\bvalue\s*=\s*{_QUOTED}|<(?P<k2>{_NAME})>(?P<x>[^<\n]+)</")
 _PLAIN = re.compile(rf"^[ \t]*(?:(?:export|ENV|ARG|set|setx)[ \t]+|-[ \t]+|//\S+?/?:)?[\"']?(?P<k>{_NAME})[\"']?[ \t]*(?:[=:]|(?<=\w)[ \t](?=\S+$))[ \t]*(?P<v>[^\s\"'`#][^\s\"'`]*)[ \t]*\r?(?:[ \t]#.*)?$")
+_BLOCK_SCALAR = re.compile(rf"^[ \t]*(?:-[ \t]+)?[\"']?(?P<k>{_NAME})[\"']?[ \t]*:[ \t]*[|>][-+\d]*[ \t]*\r?$")
+_COMMENT = re.compile(r"\s*(?://|#|\*|/\*|--|;|<!--)")
 _FALLBACK = re.compile(rf"(?:process\.env\.|import\.meta\.env\.|(?:os\.environ(?:\.get)?|getenv|Getenv|env)[(\[][\"'])(?P<k>{_NAME})[\"')\]]*\s*(?:\|\||\?\?|,|\bor\b)\s*{_QUOTED}")
 _FLAG = re.compile(r"(?i)(?<![\w-])--?(?:password|passwd|pass|token|secret|api-?key|access-?key|auth-?token|client-?secret)(?:=|[ \t]+)[\"']?(?P<v>[^\s\"']+)")
 _WORD_VALUE = re.compile(r"(?i)\b(?:password|passwd|identified\s+by)\s+(?:'(?P<s>[^'\n]+)'|\"(?P<d>[^\"\n]+)\"|`(?P<b>[^`\n]+)`|(?P<v>[^\s'\"`=:;,]+)(?=\s*\r?$))")
@@ -286,6 +288,13 @@ def _find(text: str, path: str | None, kept: list[tuple[int, int]] | None) -> li
             m = _PLAIN.match(line)
             if m and _secret(m["v"], telling(m["k"])):
                 add("assignment", a + m.start("v"), a + m.end("v"))
+            m = _BLOCK_SCALAR.match(line)
+            if m and number + 2 < len(breaks):  # the value is the next line
+                own = text[b + 1 : breaks[number + 2]].rstrip("\r")
+                value = own.strip()
+                if _secret(value, telling(m["k"])):
+                    at = b + 1 + own.index(value)
+                    add("assignment", at, at + len(value))
         for rx in (_FLAG, _WORD_VALUE, _USERPASS):
             for m in rx.finditer(line):
                 group = next(g for g in ("v", "s", "d", "b") if g in rx.groupindex and m[g] is not None)
@@ -295,7 +304,7 @@ def _find(text: str, path: str | None, kept: list[tuple[int, int]] | None) -> li
                     add("argument", a + m.start(group), a + m.end(group))
         for m in _PROSE.finditer(line):
             value = m["v"].rstrip(".,;:!?)")
-            if _secret(value) and not _WORDY.fullmatch(value) and (bare or re.search(r"\d", value) and re.fullmatch(r"[\w!@#$%^&*?~+=./-]+", value) and not re.search(r"[(){}\[\]]", line)):
+            if _secret(value) and not _WORDY.fullmatch(value) and (bare or _COMMENT.match(line) or re.search(r"\d", value) and re.fullmatch(r"[\w!@#$%^&*?~+=./-]+", value) and not re.search(r"[(){}\[\]]", line)):
                 add("prose", a + m.start("v"), a + m.start("v") + len(value))
         for m in _STRING.finditer(line):  # under any name, if it decodes to a token of a known issuer
             value = m[1] or m[2] or ""
