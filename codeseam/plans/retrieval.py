@@ -183,11 +183,26 @@ def search_full(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(corpus(spark, sf), names(spark, sf), graph.test_edges(files), asked(spark, sf), scope="global")
 
 
-@query()
+_EXPLORE = (
+    _fuse(S.WEIGHTS).replace("place <= 20", "place <= 32")
+    + ", pg AS (SELECT query_id, rank, id AS handle, path, start_line || '-' || end_line AS lines, floor(raw * 1000 + 0.5) / 1000 AS score, "
+    + _WHY
+    + " AS why, symbol_id FROM placed WHERE rank < 8), "
+    "sg AS (SELECT pg.*, coalesce(s.signature, s.kind || ' ' || s.name) AS signature FROM pg LEFT JOIN (SELECT DISTINCT id, name, kind, signature FROM symbols) s ON s.id = pg.symbol_id), "
+    "g AS (SELECT query_id, path, coalesce(signature, chr(1) || handle) AS grp, arg_min(handle, rank) AS handle, arg_min(lines, rank) AS lines, arg_min(score, rank) AS score, arg_min(why, rank) AS why, count(*) AS collapsed FROM sg GROUP BY 1, 2, 3), "
+    "it AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, lines, handle) AS item_no, max(score) OVER (PARTITION BY query_id, path) AS best FROM g), "
+    "f AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY best DESC, path) AS file_no FROM it), "
+    "z AS (SELECT *, greatest(max(file_no) OVER (PARTITION BY query_id) - 6, 0) AS omitted_files, (sum((item_no > 3)::INT) OVER (PARTITION BY query_id))::BIGINT AS omitted_results FROM f) "
+    "SELECT query_id, file_no, path, item_no, handle, lines, score, why, collapsed, omitted_files, omitted_results FROM z WHERE item_no <= 3 AND file_no <= 6"
+)
+
+
+@query(_EXPLORE)
 def explore_groups(spark: SparkSession, sf: str) -> DataFrame:
     q = asked(spark, sf)
     hits = search.search(corpus(spark, sf), names(spark, sf), None, q, 8, snippet="none", stem=False, scope="global", locale_order=False)
-    return search.explore(hits, corpus(spark, sf), names(spark, sf), locale_order=False).drop("preview")
+    out = search.explore(hits, corpus(spark, sf), names(spark, sf), locale_order=False).drop("preview", "signature")
+    return _big(out.withColumn("collapsed", F.coalesce("collapsed", F.lit(1))), "file_no", "item_no", "omitted_files", "omitted_results", "collapsed")
 
 
 _RANGES = (
