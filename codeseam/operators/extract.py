@@ -31,7 +31,7 @@ _SCRIPT = re.compile(
 _GO = re.compile(r"^(?:func\s+(?:\((?P<receiver>[^)\n]*)\)\s*)?(?P<function>\w+)\s*[\[(]|type\s+(?P<type>\w+)\s+(?P<of>struct|interface)?|(?:const|var)\s+(?P<constant>\w+))", re.M)
 _JAVA = re.compile(
     r"^(?P<indent>[ \t]*)(?P<mods>(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|sealed)\s+)*)(?:(?:class|enum|record)\s+(?P<class>\w+)|interface\s+(?P<interface>\w+)"
-    r"|(?:<[^>\n]+>\s*)?[\w<>\[\], ?.]+\s+(?P<method>\w+)\s*\([^)\n]*\)\s*(?:throws[^{\n]+)?[{;])",
+    r"|(?:<[^>\n]+>[ \t]*)?(?!(?:return|new|throw|else|case|yield|assert|package|import)\b)[\w.]++(?:<[^;(){}\n]*>)?(?:\[\])*[ \t]+(?P<method>\w+)[ \t]*\([^)\n]*\)\s*(?:throws[^{\n]+)?[{;])",
     re.M,
 )
 _C = re.compile(r"^(?P<static>static\s+)?(?:(?:const|unsigned|signed|struct|enum|inline|extern)\s+)*\w[\w ]*[\s*]+(?P<function>\w+)\s*\([^;{}]*\)\s*\{|^(?:typedef\s+)?struct\s+(?P<class>\w+)\s*\{", re.M)

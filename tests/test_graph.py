@@ -76,6 +76,8 @@ def test_extraction(spark):
     assert {(s[0], s[1], s[3], s[4]) for s in extract.symbols_of("class A:\n  def f(self):\n    pass\n\ndef g(): ...\n", "python")} == {("A", "class", 1, 3), ("f", "function", 2, 3), ("g", "function", 5, 5)}
     assert extract.symbols_of("def f(:", "python") == [] and extract.symbols_of("x", "markdown") == []
     assert {(s[0], s[1], s[5]) for s in extract.symbols_of("package a\ntype T struct {\n}\nfunc (t *T) Get() int {\n\treturn 1\n}\nfunc help() {\n}\n", "go")} == {("T", "class", True), ("Get", "method", True), ("help", "function", False)}
+    java = "public class A {\n  public static Map<String, int[]> of(List<String> x) throws E {\n    return make(x);\n  }\n  int[] raw(int a);\n  A() {}\n}\n"
+    assert {(s[0], s[1], s[3], s[4], s[5]) for s in extract.symbols_of(java, "java")} == {("A", "class", 1, 7, True), ("of", "method", 2, 4, True), ("raw", "method", 5, 5, False)}
     ddl = "file_id string, index_id string, path string, language string, content string"
     files = spark.createDataFrame([("1", "i", "src/a.ts", "typescript", ts), ("2", "i", "src/x.ts", None, "export const a = 1;"), ("3", "i", "src/d.ts", None, None), ("4", "i", "src/a.test.ts", None, "")], ddl)
     edges = {(r["from_path"], r["to_path"], r["type"], r["confidence"]) for r in extract.file_edges(files).collect()}
