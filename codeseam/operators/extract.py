@@ -73,7 +73,7 @@ def _python(text: str) -> list[Symbol]:
         try:
             tree = ast.parse(text)
         except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return []
+            return _by_indentation(text)
     lines, out = text.split("\n"), []
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
@@ -82,6 +82,26 @@ def _python(text: str) -> list[Symbol]:
     return sorted(out, key=lambda s: s[3])
 
 
+_DEFINITION = re.compile(r"([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)")
+
+
+def _by_indentation(text: str) -> list[Symbol]:
+    """The declarations of a Python text that does not parse: up to the last line that is deeper than their first."""
+    lines, out = text.split("\n"), []
+    for i, line in enumerate(lines):
+        m = _DEFINITION.match(line)
+        if m is None:
+            continue
+        last = i
+        for j in range(i + 1, len(lines)):
+            if lines[j].strip():
+                if len(lines[j]) - len(lines[j].lstrip()) <= len(m[1]):
+                    break
+                last = j
+        out.append((m[3], "class" if m[2] == "class" else "function", line.strip(), i + 1, last + 1, not m[3].startswith("_")))
+    return out
+
+
 def symbols_of(text: str, language: str | None) -> list[Symbol]:
     """The declarations of a text; none for a language without a reader."""
     if language == "python":

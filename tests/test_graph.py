@@ -74,7 +74,9 @@ def test_extraction(spark):
     assert {("run", "function", 4, 7, True), ("K", "class", 8, 10, True), ("run", "method", 9, 9, False), ("local", "constant", 11, 11, False)} <= got
     assert set(extract.relations_of(ts, "typescript")) == {("imports", "./x.js", None, None), ("imports", "./d", None, None), ("calls", "./x.js", "a", "a"), ("references", "./x.js", "c", "c"), ("calls", "./d", "D", "D")}
     assert {(s[0], s[1], s[3], s[4]) for s in extract.symbols_of("class A:\n  def f(self):\n    pass\n\ndef g(): ...\n", "python")} == {("A", "class", 1, 3), ("f", "function", 2, 3), ("g", "function", 5, 5)}
-    assert extract.symbols_of("def f(:", "python") == [] and extract.symbols_of("x", "markdown") == []
+    broken = "def f(:\n    pass\n\n    x\ny = (\nclass _B:\n    async def g(self):\n        z\n"
+    assert {(s[0], s[1], s[3], s[4], s[5]) for s in extract.symbols_of(broken, "python")} == {("f", "function", 1, 4, True), ("_B", "class", 6, 8, False), ("g", "function", 7, 8, True)}
+    assert extract.symbols_of("", "python") == [] and extract.symbols_of("x", "markdown") == []
     assert {(s[0], s[1], s[5]) for s in extract.symbols_of("package a\ntype T struct {\n}\nfunc (t *T) Get() int {\n\treturn 1\n}\nfunc help() {\n}\n", "go")} == {("T", "class", True), ("Get", "method", True), ("help", "function", False)}
     java = "public class A {\n  public static Map<String, int[]> of(List<String> x) throws E {\n    return make(x);\n  }\n  int[] raw(int a);\n  A() {}\n}\n"
     assert {(s[0], s[1], s[3], s[4], s[5]) for s in extract.symbols_of(java, "java")} == {("A", "class", 1, 7, True), ("of", "method", 2, 4, True), ("raw", "method", 5, 5, False)}
