@@ -1,7 +1,7 @@
 """The public surface: one index of a corpus as stored tables, and the questions that can be asked of it.
 
 Tables lie as Parquet under ``root/<table>/snapshot=<n>``, partitioned by index. A build or refresh writes a new
-snapshot and then flips a pointer file, so readers see one whole snapshot and a failed write leaves the old one.
+snapshot and then adds a pointer file, so readers see one whole snapshot and a failed write leaves the old one.
 """
 
 from __future__ import annotations
@@ -33,10 +33,13 @@ class Engine:
         return self._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
     def snapshot(self) -> dict | None:
-        """What the pointer says: number, version and time; None before the first build."""
-        if not self._fs.exists(self._path("CURRENT")):
+        """What the newest pointer says: number, version and time; None before the first build."""
+        root = self._path()
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        pointers = sorted(n for n in names if n.startswith("current-") and n.endswith(".json"))
+        if not pointers:
             return None
-        stream = self._fs.open(self._path("CURRENT"))
+        stream = self._fs.open(self._path(pointers[-1]))
         try:
             found = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
@@ -45,12 +48,14 @@ class Engine:
         return found
 
     def _flip(self, number: int) -> None:
+        """A pointer of its own name for each snapshot, renamed into place when it is whole: there is no moment without one."""
         text = json.dumps({"snapshot": number, "version": max(maintenance.SCHEMA_VERSIONS), "at": int(time.time() * 1000)})
-        out = self._fs.create(self._path("CURRENT.new"), True)
+        draft = self._path(f"draft-{number}.json")
+        out = self._fs.create(draft, True)
         out.write(bytearray(text, "utf-8"))
         out.close()
-        self._fs.delete(self._path("CURRENT"), False)
-        self._fs.rename(self._path("CURRENT.new"), self._path("CURRENT"))
+        if not self._fs.rename(draft, self._path(f"current-{number:012d}.json")):
+            raise OSError(f"snapshot {number} was published by another writer")
 
     def table(self, name: str) -> DataFrame:
         now = self.snapshot()
