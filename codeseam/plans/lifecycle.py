@@ -32,12 +32,12 @@ def query(sql: str | None = None):
 
 # -- freshness ---------------------------------------------------------------------------------------------------------
 
-_SCAN = "(SELECT index_id, path, size, mtime_ms, lower(content_hash) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY index_id, path ORDER BY scanned_at DESC, size DESC, mtime_ms DESC, lower(content_hash) DESC) AS r FROM scanned_files) WHERE r = 1)"
-_STORED = "(SELECT index_id, path, size, mtime_ms, lower(content_hash) AS hash, deleted FROM (SELECT *, row_number() OVER (PARTITION BY index_id, path ORDER BY last_indexed_at DESC, id DESC) AS r FROM files) WHERE r = 1)"
+SCAN = "(SELECT index_id, path, size, mtime_ms, lower(content_hash) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY index_id, path ORDER BY scanned_at DESC, size DESC, mtime_ms DESC, lower(content_hash) DESC) AS r FROM scanned_files) WHERE r = 1)"
+STORED = "(SELECT index_id, path, size, mtime_ms, lower(content_hash) AS hash, deleted FROM (SELECT *, row_number() OVER (PARTITION BY index_id, path ORDER BY last_indexed_at DESC, id DESC) AS r FROM files) WHERE r = 1)"
 _STALE = "(SELECT DISTINCT index_id, path, true AS stale FROM chunks WHERE chunker_version IS NULL OR chunker_version < 2)"
 _DIFF = (
     f"d AS (SELECT coalesce(n.index_id, o.index_id) AS index_id, coalesce(n.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' "
-    f"WHEN s.stale OR {{0}} THEN 'changed' ELSE 'unchanged' END AS change FROM {_SCAN} n FULL JOIN (SELECT * FROM {_STORED} WHERE NOT deleted) o ON n.index_id = o.index_id AND n.path = o.path "
+    f"WHEN s.stale OR {{0}} THEN 'changed' ELSE 'unchanged' END AS change FROM {SCAN} n FULL JOIN (SELECT * FROM {STORED} WHERE NOT deleted) o ON n.index_id = o.index_id AND n.path = o.path "
     f"LEFT JOIN {_STALE} s ON s.index_id = coalesce(n.index_id, o.index_id) AND s.path = coalesce(n.path, o.path))"
 )
 _BY_TIME = _DIFF.format("n.size IS DISTINCT FROM o.size OR n.mtime_ms IS DISTINCT FROM o.mtime_ms")
@@ -280,9 +280,15 @@ def locate_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return E.locate_tasks(table(spark, sf, "symbols")).select("query", F.get("expected_paths", F.lit(0)).alias("path"), "symbol", "id")
 
 
-@query()
+@query(
+    EDGES
+    + ", d AS (SELECT DISTINCT b AS to_path, a AS from_path FROM e WHERE a <> b AND type IN ('imports', 'calls', 'references')), "
+    "x AS (SELECT to_path, count(*) AS n, sum(('0x' || substr(sha256(from_path), 1, 12))::HUGEINT)::HUGEINT AS s, list_sort(list(from_path))[1:20] AS p FROM d GROUP BY 1) "
+    "SELECT 'callers-' || substr(sha256('callers of ' || to_path || chr(0) || n || chr(0) || s), 1, 12) AS id, 'callers' AS type, 'callers of ' || to_path AS query, to_path AS target_path, array_to_string(p, ',') AS expected FROM x"
+)
 def relationship_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    return E.relationship_tasks(edges(spark, sf), "callers")
+    t = E.relationship_tasks(edges(spark, sf), "callers")
+    return t.select("id", "type", "query", "target_path", F.array_join("expected_paths", ",").alias("expected"))
 
 
 def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeseam.plans.lifecycle import SCAN, STORED
 from codeseam.session import table
 from codeseam.streaming import jobs
 
@@ -60,5 +61,7 @@ def stream_file_refresh(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {"stream_usage_rollup": stream_usage_rollup, "stream_file_refresh": stream_file_refresh}
 ORACLES = {
+    "stream_file_refresh": f"SELECT n.index_id, n.path, CASE WHEN o.path IS NULL THEN 'new' ELSE 'changed' END AS change FROM {SCAN} n LEFT JOIN (SELECT * FROM {STORED} WHERE NOT deleted) o "
+    "ON n.index_id = o.index_id AND n.path = o.path WHERE o.path IS NULL OR n.size IS DISTINCT FROM o.size OR n.mtime_ms IS DISTINCT FROM o.mtime_ms",
     "stream_usage_rollup": "SELECT event_type AS tool, user_id AS repo_id, count(*) AS calls, max(event_id) AS last_called_at, sum(octet_length(encode(props)))::BIGINT AS bytes_served, count(*) AS bytes_saved FROM events GROUP BY ALL",
 }
