@@ -21,6 +21,7 @@ from pyspark.sql.window import Window as W
 from codeseam.session import broadcast_if_small
 
 ITEM = ["index_id", "path"]
+DAY_MS = 86_400_000
 
 
 def run_terms(runs: DataFrame) -> DataFrame:
@@ -29,18 +30,21 @@ def run_terms(runs: DataFrame) -> DataFrame:
     Exact duplicate rows count once; of runs that start at the same moment the one with the greatest run_id holds the
     span. Rows without index or start are left out: no write can be theirs.
     """
-    span = W.partitionBy("index_id").orderBy("started_at")
-    return (
+    starts = (
         runs.where(F.col("index_id").isNotNull() & F.col("started_at").isNotNull())
         .groupBy("index_id", "started_at")
         .agg(F.max(F.struct("run_id", "state")).alias("run"))
-        .select(
-            "index_id",
-            F.col("run.run_id").alias("run_id"),
-            F.col("run.state").alias("state"),
-            "started_at",
-            F.lead("started_at").over(span).alias("until"),
-        )
+        .withColumn("day", F.floor(F.col("started_at") / DAY_MS))
+    )
+    # a span ends at the next start of its day or else at the first of the next day with one: no task holds more than
+    # the runs of an index in a day, or the days of an index
+    days = starts.groupBy("index_id", "day").agg(F.min("started_at").alias("first"))
+    days = days.select("index_id", "day", F.lead("first").over(W.partitionBy("index_id").orderBy("day")).alias("next_day"))
+    within = F.lead("started_at").over(W.partitionBy("index_id", "day").orderBy("started_at"))
+    return (
+        starts.withColumn("next", within)
+        .join(days, ["index_id", "day"])
+        .select("index_id", F.col("run.run_id").alias("run_id"), F.col("run.state").alias("state"), "started_at", F.coalesce("next", "next_day").alias("until"))
     )
 
 

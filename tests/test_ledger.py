@@ -42,6 +42,14 @@ def test_a_write_belongs_to_the_last_run_before_it(spark):
     assert sorted((r["last_indexed_at"], r["token"]) for r in got) == [(100, 1), (199, 1), (300, 3), (399, 3)]
 
 
+def test_spans_go_on_over_days(spark):
+    day = ledger.DAY_MS
+    starts = [5, day - 1, day, 4 * day + 7, 4 * day + 9]
+    runs = [(n, "i", t, None, "ok", None) for n, t in enumerate(starts)] + [(9, "j", 3 * day, None, "ok", None)]
+    got = sorted((r["index_id"], r["started_at"], r["until"]) for r in ledger.run_terms(spark.createDataFrame(runs, RUN)).collect())
+    assert got == [*(("i", a, b) for a, b in zip(starts, [*starts[1:], None])), ("j", 3 * day, None)]
+
+
 @pytest.fixture
 def book(spark, tmp_path):
     return ledger.Ledger(spark, f"file://{tmp_path}/ledger")
