@@ -62,7 +62,7 @@ _UPSTREAM = re.compile(r"(?ix) \bupstream:\s*\S+ | \bcopied\s+(?:into|from|verba
 _OWNER = re.compile(r"(?i)copyright\b.{0,40}?\b(?:the\s+)?([a-z][\w.]*(?:-[\w.]+)*)\s+(?:contributors|authors|team|project|developers)\b|this\s+file\s+belongs\s+to\s+([a-z][\w.]*(?:-[\w.]+)*)\b|copyright\b.{0,20}\bby\s+([a-z][\w.-]+)")
 _BANNER = re.compile(r"^/\*!")
 _BUNDLER = re.compile(r"__webpack_require__|\(function\s*\(modules\)|parcelRequire|System\.register\(|define\.amd|//# sourceMappingURL=")
-_NUMBERS = re.compile(r"[-+0-9a-fA-FxX.,\s\[\]{}()\"':]")
+_NUMBERS = re.compile(r"[-+0-9a-fA-FxX.,\s\[\]{}()\"':]+")
 _NUMBER = re.compile(r"\b0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
 _ENCODED = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|(?:\\x[0-9a-fA-F]{2}|\\[0-7]{3}|\\u[0-9a-fA-F]{4}){10,}")
 _PEM = re.compile(r"^\W*-----BEGIN [A-Z0-9 ]+-----")
@@ -95,6 +95,11 @@ def _header(text: str, lines: int = 25) -> list[str]:
     return out
 
 
+def _covered(pattern: re.Pattern, text: str) -> int:
+    """The number of characters that the matches cover, without a list of them."""
+    return sum(m.end() - m.start() for m in pattern.finditer(text))
+
+
 def evidence(path: str | None, content: str | None, repository: str | None = None) -> list[float]:
     """The log-likelihood of each label, up to a constant; without evidence only the prior speaks."""
     hand, generated, minified, vendored, blob = PRIOR, 0.0, 0.0, 0.0, 0.0
@@ -137,16 +142,13 @@ def evidence(path: str | None, content: str | None, repository: str | None = Non
             if _BUNDLER.search(text[:3000]) or _BUNDLER.search(text[-300:]):
                 minified += 4.5
         if _DATA_NAME.search(name) and len(text) > 1200:
-            middle = text if len(text) < 60_000 else text[len(text) // 2 - 15_000 : len(text) // 2 + 15_000]  # the look of the text, whose evidence is a share
-            share = len(_NUMBERS.findall(middle)) / len(middle)
-            numbers = sum(map(len, _NUMBER.findall(middle))) / len(middle)
-            encoded = sum(map(len, _ENCODED.findall(middle))) / len(middle)
+            share, numbers, encoded = (_covered(p, text) / len(text) for p in (_NUMBERS, _NUMBER, _ENCODED))
             if share > 0.85 and numbers > 0.3 or encoded > 0.75:
                 blob += 7.0
             if name.lower().endswith(".json"):
                 if "lockfileVersion" in text[:400] or text.count('"integrity"') > 3:
                     generated += 6.0
-                elif per_line > 800 or len(_RECORDS.findall(middle)) > 20:
+                elif per_line > 800 or sum(1 for _ in _RECORDS.finditer(text)) > 20:
                     blob += 6.0
     return [hand, generated, minified, vendored, blob]
 

@@ -39,6 +39,23 @@ def test_evidence(path, text, label):
     assert V.LABELS[e.index(max(e))] == label
 
 
+ENCODED = "iwIrrfJra7j2ztudiLV3TLH2YRU/cdBhmE6wwTe+"
+
+
+@pytest.mark.parametrize("size", [56_000, 62_000, 300_000])
+def test_shares_are_of_the_whole_text_at_every_size(size):
+    """Data in the middle of code are no blob, data around code are one, whatever the length."""
+    label = lambda path, text: max(zip(V.evidence(path, text), V.LABELS))[1]
+    code = SOURCE * (size // 4 // len(SOURCE) + 1)
+    inside = code + 'const X = "' + ENCODED * (size // 2 // len(ENCODED)) + '";\n' + code
+    assert len(inside) >= size and label("src/a/b.py", inside) == "handwritten"
+    code = SOURCE * (size // 6 // len(SOURCE))
+    around = ('X = "' + ENCODED * ((size - len(code)) // 2 // len(ENCODED)) + '"\n').join(["", code, ""])
+    assert label("src/a/font.py", around) == "blob"
+    records = "[" + ", ".join(f'{{"id": {i}, "k": "x"}}' for i in range(100))
+    assert label("data/a.json", records + ', {"notes": ["' + "a b " * (size // 4 - 500) + '"]}]\n' + "\n" * (size // 400)) == "blob"
+
+
 def test_beliefs_are_exact(spark):
     """Against the sum over all labellings of a small tree."""
     random.seed(8)
