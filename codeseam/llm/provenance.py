@@ -43,13 +43,21 @@ _MINIFIED_NAME = re.compile(r"(?i)[.-](?:min|bundle|chunk|prod)\.(?:m?js|cjs|css
 _SCRIPT = re.compile(r"(?i)\.(?:m?js|cjs|css|jsx?|tsx?)$")
 _DATA_NAME = re.compile(r"(?i)\.(?:json|js|mjs|cjs|ts|tsx|jsx|py|c|h|cc|cpp|go|java|rs|rb|php|kt|cs)$")
 
-_COMMENT = re.compile(r"^\s*(?:#!.*|//+[!/]?|/\*+!?|\*+/?|\#+|--+|;+|%+|<!--|\"\"\"|''')\s*(.*?)\s*(?:\*/|-->)?\s*$")
+#: Comments that end with a mark, and the marks of those that end with their line (or go on in a block's line).
+_BLOCKS = {"/*": "*/", '"""': '"""', "'''": "'''", "<!--": "-->"}
+_MARK = re.compile(r"#!.*|(?://+[!/]?|/\*+!?|\*+/?|\#+|--+|;+|%+|<!--|\"\"\"|''')\s*")
+_SPACE = re.compile(r"[\s\ufeff]*+")
+#: Where ``#`` begins no comment: selectors, and directives, of which only one that gives a value is code.
+_STYLES = re.compile(r"(?i)\.(?:css|scss|less)$")
+_C_NAME = re.compile(r"(?i)\.(?:c|h|cc|cpp|cxx|hh|hpp|hxx|inl|m|mm|cs)$")
+_DIRECTIVE = re.compile(r"#[ \t]*(?:if|ifn?def|el(?:if|se)|endif|define|undef|pragma|include|import|error|warning|line|nullable|(?:end)?region)\b")
+_CONSTANT = re.compile(r"#[ \t]*define[ \t]+\w+(?:\(|[ \t]+[^\s/])")
 #: Subjects whose work is to handle generated files, not to be one.
 _ABOUT = re.compile(r"(?i)^(?:finds|decides|detects|checks|writes|reads|parses|skips|tests|lists|returns|collects|handles|removes|creates|builds|emits|generates|prints|the generator|helper|script (?:that|to)|tool (?:that|to))\b")
 _GENERATED = re.compile(
     r"""(?ix)
       @generated\b | <auto-?generated | ^(?:\W*(?:note|warning|attention)\W+)?(?:this\s+(?:file|code|module|class|source)\s+(?:is|was|has\s+been)\s+)?(?:\w+\s+){0,2}?(?:auto-?matically|auto-?|machine-?)\s*-?(?:generated|created|produced|written)\b
-    | ^(?:code|file|source|sources?\s+code|stubs?|bindings?|client|parser|lexer|this\s+(?:file|code|module|class|source))?\s*(?:is|was|has\s+been)?\s*(?:generated|emitted|produced)\s+(?:by|from|with|using|on|at)\b
+    | ^(?:code|file|source|sources?\s+code|stubs?|bindings?|client|parser|lexer|this\s+(?:file|code|module|class|source))?\s*+(?:is|was|has\s+been)?\s*+(?:generated|emitted|produced)\s+(?:by|from|with|using|on|at)\b
     | ^(?:written|built|created|compiled|made)\s+by\s+(?:a\s+|the\s+)?(?:script|tool|generator|compiler|build|program|running|make)\b | ^\w+\s+(?:built|made|created|written)\s+by\s+running\b
     | ^machine[- ](?:made|written|generated)\b | \byour\s+(?:edits|changes)\s+(?:vanish|are\s+lost|will\s+be\s+(?:lost|overwritten))\b | ^output\s+of\b | \btreat\s+(?:this\s+|it\s+)?as\s+(?:a\s+)?(?:build|generated|compiler)\s+output\b | \b(?:hand|manual)[- ]edits?\s+(?:get|are|will\s+be|is)\s+(?:overwritten|lost|discarded)\b
     | \bregenerate,?\s+(?:never|don't|do\s+not|instead\s+of)\b | \bre-?run\s+the\s+\w+\s+after\b | ^(?:please\s+)?do\s+not\s+(?:edit|modify|change)\b | \bdo\s+not\s+(?:edit|modify)(?:\s+(?:by\s+hand|manually|this\s+file|directly))?\W*$ | -\s*edit\s+\S+\.\w+\s+instead
@@ -66,33 +74,31 @@ _NUMBERS = re.compile(r"[-+0-9a-fA-FxX.,\s\[\]{}()\"':]+")
 _NUMBER = re.compile(r"\b0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
 _ENCODED = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|(?:\\x[0-9a-fA-F]{2}|\\[0-7]{3}|\\u[0-9a-fA-F]{4}){10,}")
 _PEM = re.compile(r"^\W*-----BEGIN [A-Z0-9 ]+-----")
+_LOCKFILE = re.compile(r'"lockfileVersion"\s*:')
 _RECORDS = re.compile(r'\{\s*"[^"]{1,40}"\s*:\s*[^{}\[\]]{1,200}\}\s*,\s*\{\s*"')
 
 
-def _header(text: str, lines: int = 25) -> list[str]:
-    """The comment lines before the first code, without their marks."""
-    out, at, block = [], 0, None
-    for _ in range(lines):
-        if at > len(text) or at < 0:
-            break
-        end = text.find("\n", at)
-        line = (text[at:end] if end >= 0 else text[at:])[:400].strip().lstrip("﻿")
-        at = end + 1 if end >= 0 else -1
-        if not line:
-            if at < 0:
-                break
+def _header(text: str, name: str = "") -> list[str]:
+    """The lines of all comments before the first code, without their marks."""
+    out, at = [], 0
+    while (at := _SPACE.match(text, at).end()) < len(text):
+        mark = next((m for m in _BLOCKS if text.startswith(m, at)), None)
+        if mark:
+            end = text.find(_BLOCKS[mark], at + len(mark))
+            end = end if end >= 0 else len(text)
+            out += text[at:end].split("\n")
+            at = end + len(_BLOCKS[mark])
             continue
-        m = _COMMENT.match(line)
-        if m is None and block is None:
+        directive = _C_NAME.search(name) and _DIRECTIVE.match(text, at)
+        if not _MARK.match(text, at) or text[at] == "#" and _STYLES.search(name) or directive and _CONSTANT.match(text, at):
             break
-        out.append(m[1] if m else line)
-        if block is None and line.startswith("/*") and "*/" not in line:
-            block = "*/"
-        elif block is None and line[:3] in ('"""', "'''") and line.count(line[:3]) < 2:
-            block = line[:3]
-        elif block and block in line:
-            block = None
-    return out
+        end = text.find("\n", at)
+        end = end if end >= 0 else len(text)
+        if not directive:  # they stand before the banner, but say nothing
+            out.append(text[at:end])
+        at = end
+    lines = [line.strip() for line in out]
+    return [line[m.end() if (m := _MARK.match(line)) else 0 :].removesuffix("*/").removesuffix("-->").strip() for line in lines]
 
 
 def _covered(pattern: re.Pattern, text: str) -> int:
@@ -119,12 +125,12 @@ def evidence(path: str | None, content: str | None, repository: str | None = Non
         generated += 7.0
     if _MINIFIED_NAME.search(name):
         minified += 6.0
-    header = _header(text)
+    header = _header(text, name)
     if any(_GENERATED.search(line) and not _ABOUT.match(line) for line in header):
         generated += 7.0
-    if any(_UPSTREAM.search(line) for line in header[:6]):
+    if any(_UPSTREAM.search(line) for line in header):
         vendored += 6.0
-    owners = {next(filter(None, m.groups())).lower() for line in header[:12] for m in [_OWNER.search(line)] if m}
+    owners = {next(filter(None, m.groups())).lower() for line in header for m in [_OWNER.search(line)] if m}
     if owners and repository:
         if repository.lower() in owners:
             vendored -= 1.5
@@ -139,14 +145,14 @@ def evidence(path: str | None, content: str | None, repository: str | None = Non
                 minified += 6.0
             if _BANNER.match(text):
                 minified += 2.0
-            if _BUNDLER.search(text[:3000]) or _BUNDLER.search(text[-300:]):
+            if _BUNDLER.search(text):
                 minified += 4.5
         if _DATA_NAME.search(name) and len(text) > 1200:
             share, numbers, encoded = (_covered(p, text) / len(text) for p in (_NUMBERS, _NUMBER, _ENCODED))
             if share > 0.85 and numbers > 0.3 or encoded > 0.75:
                 blob += 7.0
             if name.lower().endswith(".json"):
-                if "lockfileVersion" in text[:400] or text.count('"integrity"') > 3:
+                if _LOCKFILE.search(text) or text.count('"integrity"') > 3:
                     generated += 6.0
                 elif per_line > 800 or sum(1 for _ in _RECORDS.finditer(text)) > 20:
                     blob += 6.0

@@ -56,6 +56,46 @@ def test_shares_are_of_the_whole_text_at_every_size(size):
     assert label("data/a.json", records + ', {"notes": ["' + "a b " * (size // 4 - 500) + '"]}]\n' + "\n" * (size // 400)) == "blob"
 
 
+LICENCE = [f"Clause {i} of the licence: the work is given as it is, without any warranty." for i in range(300)]
+
+
+@pytest.mark.parametrize("lines", [3, 30, 300])
+def test_banners_below_a_licence(lines):
+    """All comments before the first code are read, and none after it."""
+    label = lambda path, text: max(zip(V.evidence(path, text), V.LABELS))[1]
+    slashes, block, hashes = "".join(f"// {x}\n" for x in LICENCE[:lines]), "/*\n" + "".join(f" * {x}\n\n" for x in LICENCE[:lines]) + " */\n", "".join(f"# {x}\n" for x in LICENCE[:lines])
+    made, note, long = "Code generated by tool v1. DO NOT EDIT.", "upstream: https://libx.example/r", "x" * 500 + " DO NOT EDIT"
+    for head in (slashes, block, block + "\n\n" + slashes):
+        assert label("src/a/x.go", head + f"// {made}\n" + SOURCE) == "generated"
+        assert label("src/a/x.js", head + f"/* {note} */\n" + SOURCE) == "vendored"
+        assert label("src/a/x.go", head + f"// {long}\n" + SOURCE) == "generated"
+        assert label("src/a/x.go", head + "package x\n" + f"// {made}\n// {note}\n" + SOURCE) == "handwritten"
+        assert label("src/a/x.go", head + f"/* kept */ package x\n// {made}\n" + SOURCE) == "handwritten"
+        assert label("src/a/x.go", head + SOURCE) == "handwritten"
+    assert label("src/a/x.py", hashes + f'"""Rows.\n\n{made}\n"""\nx = 1\n') == "generated"
+    assert label("src/a/x.h", block + f"#ifndef X_H\n#define X_H\n#include <a.h>\n/* {made} */\nint x;\n") == "generated"
+    assert label("src/a/x.h", block + f"#define X 1\n/* {made} */\nint x;\n") == "handwritten"
+    owned = V.evidence("src/a/x.js", slashes + "// Copyright 2020 the repo authors\n" + SOURCE, "repo")
+    assert owned[V.LABELS.index("vendored")] == -1.5
+
+
+def test_marks_of_bundles_and_lockfiles_anywhere():
+    label = lambda path, text: max(zip(V.evidence(path, text), V.LABELS))[1]
+    banner = "/*\n" + "\n".join(LICENCE[:60]) + "\n*/\n"
+    assert len(banner) > 3000
+    assert label("web/a.js", banner + "var a = (function (modules) {\n" + SOURCE * 5 + "})([]);\n") == "minified"
+    assert label("web/a.js", banner + SOURCE * 5) == "handwritten"
+    rows = ",\n".join(f'"k{i}": "a b"' for i in range(100))
+    assert label("web/deps.json", '{"meta": {' + rows + '}, "lockfileVersion": 3}') == "generated"
+    assert label("web/deps.json", '{"meta": {' + rows + '}, "note": "has no lockfileVersion"}') == "handwritten"
+
+
+def test_header_of_long_lines_is_linear():
+    """No pattern of the header goes over a run of blanks again from each of its characters."""
+    for text in ("// code" + " " * 200_000 + "x\n", "/*" + " " * 200_000 + "*/ x\n", "#" * 200_000 + "\n", "/*" * 100_000):
+        assert V.evidence("src/a/x.go", text, "repo")[0] == V.PRIOR
+
+
 def test_beliefs_are_exact(spark):
     """Against the sum over all labellings of a small tree."""
     random.seed(8)
