@@ -131,7 +131,7 @@ _CHARSET = re.compile(r"(?i)abcdefghij|0123456789|qwertyuiop")
 
 def usable(value: str) -> bool:
     """True if a value that a telling name has been given looks like a credential and not like something else."""
-    if len(value) < 8 or len(value) > 4096 or placeholder(value) or any(c.isspace() for c in value):
+    if len(value) < 8 or placeholder(value) or any(c.isspace() for c in value):
         return False
     if _NUMBER.fullmatch(value) or _UUID.fullmatch(value) or _CHECKSUM.match(value) or _PATTERN.search(value) or _CHARSET.search(value):
         return False
@@ -149,14 +149,15 @@ _B64 = re.compile(r"[A-Za-z0-9+/]{8,}={0,2}")
 
 
 def decoded(value: str) -> str | None:
-    """The printable text that a Base64 value stands for, or None."""
+    """The printable text, of one line or several, that a Base64 value stands for, or None."""
     if not _B64.fullmatch(value) or len(value) % 4 or len(value) < 8:
         return None
     try:
         text = base64.b64decode(value, validate=True).decode("ascii")
     except (binascii.Error, UnicodeDecodeError):
         return None
-    return text.strip() if text.strip().isprintable() else None
+    text = text.strip()
+    return text if text.replace("\r", "").replace("\n", "").isprintable() else None
 
 
 def _json_part(part: str) -> object:
@@ -188,7 +189,9 @@ _BASIC = re.compile(r"(?i)\bbasic\s+([A-Za-z0-9+/]{8,}={0,2})")
 _BEARER = re.compile(r"(?i)\bbearer\s+([A-Za-z0-9._~+/-]{16,}=*)")
 _NAME = r"[A-Za-z_À-ÿ\u0400-\u04ff\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af][\w.\-]*"
 _QUOTED = r"(?:\"(?P<d>(?:[^\"\\\n]|\\.)*)\"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`)"
-_ASSIGN = re.compile(rf"(?P<k>{_NAME})[\"'`\]]*(?:\s*:\s*(?:[\w<>\[\]|*& ]+))?\s*(?::=|=>|[=:])\s*(?:new\s+\w+\(|[uUrRbBfF]{{1,2}}(?=[\"']))?{_QUOTED}")
+#: Where a name can begin; a later character of the same run gives no other match, so long values are not read again from each.
+_AT_NAME = r"(?<![\w.\-])(?:(?![A-Za-z_À-ÿ\u0400-\u04ff\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af])[\w.\-])*+"
+_ASSIGN = re.compile(rf"{_AT_NAME}(?P<k>{_NAME})[\"'`\]]*(?:\s*:\s*(?:[\w<>\[\]|*& ]+))?\s*(?::=|=>|[=:])\s*(?:new\s+\w+\(|[uUrRbBfF]{{1,2}}(?=[\"']))?{_QUOTED}")
 _PAIR = re.compile(rf"[\"'](?P<k>{_NAME})[\"']\s*,\s*{_QUOTED}")
 _ATTRIBUTE = re.compile(rf"\b(?:name|key|id)\s*=\s*[\"'](?P<k>{_NAME})[\"'][^<>\n]*?\bvalue\s*=\s*{_QUOTED}|<(?P<k2>{_NAME})>(?P<x>[^<\n]+)</")
 _PLAIN = re.compile(rf"^[ \t]*(?:(?:export|ENV|ARG|set|setx)[ \t]+|-[ \t]+|//\S+?/?:)?[\"']?(?P<k>{_NAME})[\"']?[ \t]*(?:[=:]|(?<=\w)[ \t](?=\S+$))[ \t]*(?P<v>[^\s\"'`#][^\s\"'`]*)[ \t]*\r?(?:[ \t]#.*)?$")
@@ -208,10 +211,10 @@ _JOINED = re.compile(r"([\"'`])[ \t]*\+[ \t\r]*\n?[ \t]*\1")
 _CODE = re.compile(r"(?i)\.(?:py|js|mjs|cjs|jsx|ts|tsx|go|java|c|h|cc|cpp|hpp|cs|rs|rb|php|kt|scala|swift|json|css|html?|svg|sql)$")
 
 
-def _encoded_prefixes() -> set[str]:
-    """What the issuers' prefixes look like inside Base64, at each of the three alignments."""
+def _encoded(prefixes) -> set[str]:
+    """What these beginnings look like inside Base64, at each of the three alignments."""
     out = set()
-    for prefix in ISSUER_PREFIXES:
+    for prefix in prefixes:
         for shift in range(3):
             text = base64.b64encode(b"\0" * shift + prefix.encode()).decode().rstrip("=")
             inner = text[-(-shift * 4 // 3) : (len(prefix) + shift) * 4 // 3]
@@ -220,11 +223,37 @@ def _encoded_prefixes() -> set[str]:
     return out
 
 
+_ENCODED_BEGIN = re.compile("|".join(sorted(_encoded(["-----BEGIN"]))))
+_B64_RUN = re.compile(r"[A-Za-z0-9+/]{20,}={0,2}")
+#: Lines of nothing else, in which a long value goes on.
+_B64_LINES = re.compile(r"(?:(?:[ \t\r]|\\[nr])*\n[ \t]*[A-Za-z0-9+/]+={0,2}(?=[ \t]*\r?(?:\n|\Z)))*+")
+_PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+
+
+def _key_block(text: str) -> bool:
+    """True if a private key block with a body of its own is in the text."""
+    return any((body := _PEM_BODY.match(text, m.end())) and len(set(body[1])) >= 8 for m in _PEM.finditer(text))
+
+
+def _encoded_key(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """Where the Base64 characters ``start:end`` and the lines in which they go on hold a private key block, if they do."""
+    more = _B64_LINES.match(text, end).end()
+    at = [i for i in range(start, more) if text[i].isalnum() or text[i] in "+/"]
+    for first in range(min(4, len(at))):  # a path's slash can stand before
+        value = "".join(text[i] for i in at[first:])
+        inner = base64.b64decode(value[: len(value) // 4 * 4] + (value[len(value) // 4 * 4 :] + "==")[:4] * (len(value) % 4 > 1)).decode("latin-1")
+        if _key_block(inner):
+            ends = [m.end() for m in _PEM_END.finditer(inner)]
+            last = at[min(len(at), first + -(-ends[-1] * 4 // 3)) - 1] + 1 if ends else more
+            return at[first], max(last, end)
+    return None
+
+
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     names = STRONG | WEAK | {"key", "auth", "login", "identified by", "basic ", "-----begin", "://", "mot_de_passe", "mot-de-passe", "motdepasse", "-u ", "--user"}
-    for word in names | set(ISSUER_PREFIXES) | _encoded_prefixes():
+    for word in names | set(ISSUER_PREFIXES) | _encoded([*ISSUER_PREFIXES, "-----BEGIN"]):
         a.add_word(word.lower(), len(word))
     a.make_automaton()
     return a
@@ -273,7 +302,7 @@ def _find(text: str, path: str | None, kept: list[tuple[int, int]] | None) -> li
                 add("url_password", a + m.start(2), a + m.end(2))
         for m in _BASIC.finditer(line):
             pair = decoded(m[1])
-            if pair and ":" in pair and not placeholder(pair.split(":", 1)[1]) and len(pair.split(":", 1)[1]) >= 4:
+            if pair and ":" in pair and "\n" not in pair and "\r" not in pair and not placeholder(pair.split(":", 1)[1]) and len(pair.split(":", 1)[1]) >= 4:
                 add("basic_auth", a + m.start(1), a + m.end(1))
         for m in _BEARER.finditer(line):
             if usable(m[1]):
@@ -309,8 +338,12 @@ def _find(text: str, path: str | None, kept: list[tuple[int, int]] | None) -> li
         for m in _STRING.finditer(line):  # under any name, if it decodes to a token of a known issuer
             value = m[1] or m[2] or ""
             inner = decoded(value) if len(value) >= 20 else None
-            if inner and (i := _ISSUER.search(inner)) and _valid(i.lastgroup, i.group()):
+            if inner and any(_valid(i.lastgroup, i.group()) for i in _ISSUER.finditer(inner)):
                 add("encoded_token", a + m.start() + 1, a + m.end() - 1)
+        if _ENCODED_BEGIN.search(line):
+            for m in _B64_RUN.finditer(line):
+                if _ENCODED_BEGIN.search(m[0]) and (span := _encoded_key(text, a + m.start(), a + m.end())):
+                    add("encoded_key", *span)
     out: list[Hit] = []
     last = -1
     for x, y, kind in sorted(found, key=lambda f: (f[0], -f[1])):
@@ -339,7 +372,9 @@ def _secret(value: str, told: int = 2) -> bool:
         return False
     inner = decoded(value) if len(value) >= 8 else None
     if inner and not (value.isalnum() and (value.islower() or value.isupper() or value.isdigit())):
-        if placeholder(inner):
+        if _key_block(inner):
+            return True
+        if "\n" not in inner and "\r" not in inner and placeholder(inner):
             return False
         if usable(inner) or ":" in inner and usable(inner.split(":", 1)[1]) or _ISSUER.search(inner):
             return True

@@ -1,4 +1,6 @@
 import base64
+import random
+import string
 
 import pytest
 
@@ -73,6 +75,42 @@ def test_not_found(text, ext):
     assert S.find(text, f"x/a.{ext}") == []
 
 
+def pem(characters, kind="PRIVATE KEY"):
+    body = "".join(random.Random(characters).choices(string.ascii_letters + string.digits + "+/", k=characters))
+    return f"-----BEGIN {kind}-----\n" + "\n".join(body[i : i + 64] for i in range(0, characters, 64)) + f"\n-----END {kind}-----\n"
+
+
+@pytest.mark.parametrize("characters", [200, 1_600, 3_200, 30_000])
+@pytest.mark.parametrize("before", ["", "\n", "# \n", "0123456789abc\n"])
+def test_encoded_keys_of_any_length(characters, before):
+    value = B64(before + pem(characters, "RSA PRIVATE KEY"))
+    wrapped = "\n".join("    " + value[i : i + 76] for i in range(0, len(value), 76))
+    for text, ext in [
+        (f"  tls.key: {value}\n", "yaml"),
+        (f"  material: {value}\nname: x\n", "yaml"),
+        (f'private_key = "{value}"\n', "py"),
+        (f'BLOB = "{value}"\n', "py"),
+        (f'const x = "data:application/x-pem-file;base64,{value}";\n', "js"),
+        (f'const x = "{value[:99]}" + "{value[99:]}";\n', "js"),
+        (f"  material: |\n{wrapped}\nname\nother: x\n", "yaml"),
+    ]:
+        hits = S.find(text, f"x/a.{ext}")
+        assert len(hits) == 1, (text[:60], hits)
+        redacted = S.redact(text, hits)
+        assert len(redacted) == len(text) and S.find(redacted, f"x/a.{ext}") == [] and "name" in redacted or "name" not in text
+        assert not any(value[i : i + 40] in redacted for i in range(0, len(value) - 60, 7))
+    public = B64(before + pem(characters, "PUBLIC KEY"))
+    assert S.find(f"  material: {public}\n", "x/a.yaml") == [] and S.find(f'BLOB = "{public}"\n', "x/a.py") == []
+    assert S.find(f'BLOB = "{B64(before + "-----BEGIN PRIVATE KEY-----" + chr(10) + "x" * characters)}"\n', "x/a.py") == []
+
+
+def test_values_of_any_length():
+    value = "".join(random.Random(5).choices(string.ascii_letters + string.digits, k=20_000))
+    assert [S.find(f'password = "{value[:n]}"', "a.py")[0].spans for n in (4_096, 4_097, 20_000)] == [((12, 12 + n),) for n in (4_096, 4_097, 20_000)]
+    config = B64("user: svc\nnote: see the example\na key: " + AKIA + "\n")
+    assert [h.kind for h in S.find(f'BLOB = "{config}"', "a.py")] == ["encoded_token"]
+
+
 def test_redaction_keeps_alphabet_and_the_rest():
     text = 'a = 1\npassword = "Ab-12cd!é"\nb = 2'
     assert S.redact(text, S.find(text, "a.py")) == 'a = 1\npassword = "Xx-00xx!x"\nb = 2'
