@@ -125,7 +125,7 @@ EVENT_DDL = "item STRING, version STRING, event STRING, token BIGINT, owner STRI
 class Ledger:
     """An append-only event table under ``root`` with enqueue, lease, complete and state.
 
-    * ``enqueue`` adds items whose version is not yet known (an anti join, so a retry adds nothing);
+    * ``enqueue`` adds items whose version is not yet known (an anti join; a batch that is whole is left as it is);
     * ``lease`` gives up to ``n`` pending items to an owner under a new fencing token, until ``now + ttl``;
     * ``complete`` marks the items of a token as done. A token whose lease has expired or was passed to a newer token
       is stale: its completion is written but the fold rejects it;
@@ -177,9 +177,15 @@ class Ledger:
         )
 
     def enqueue(self, items: DataFrame, batch: int, now: int) -> None:
-        """``items``: ``item, version``. ``batch`` names the folder, so a retry of the same batch replaces it."""
+        """``items``: ``item, version``. ``batch`` names the folder: a retry replaces what a failed call has left there, and
+        changes nothing if the call had succeeded; a whole batch is never replaced, so other items under its number are an
+        error."""
         known = self.events().select("item", "version").distinct()
         new = items.select("item", "version").distinct().join(known, ["item", "version"], "left_anti")
+        if self._done(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/enqueue-{batch}")):
+            if not new.isEmpty():
+                raise ValueError(f"batch {batch} has been written with other items")
+            return
         none = F.lit(None)
         self._append(
             f"enqueue-{batch}",

@@ -87,6 +87,23 @@ def test_half_written_batches_are_not_seen(spark, book, tmp_path):
     assert book.events().count() == 0
 
 
+def test_a_retried_batch_keeps_its_items(spark, book, tmp_path):
+    items = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "1")], "item string, version string")
+    book.enqueue(items, 1, now=0)
+    book.enqueue(items, 1, now=5)  # the first call had succeeded
+    assert states(book, 6) == {"a": "pending", "b": "pending"} and book.events().count() == 2
+    (tmp_path / "ledger" / "enqueue-1" / "_SUCCESS").unlink()
+    book.enqueue(items, 1, now=7)  # it had not
+    assert states(book, 8) == {"a": "pending", "b": "pending"} and book.events().count() == 2
+    token = book.lease("x", 1, now=10, ttl=100)
+    book.complete(token, now=20)
+    book.enqueue(items, 1, now=30)
+    assert states(book, 31) == {"a": "done", "b": "pending"}
+    with pytest.raises(ValueError, match="other items"):
+        book.enqueue(spark.createDataFrame([("c", "1")], "item string, version string"), 1, now=40)
+    assert states(book, 41) == {"a": "done", "b": "pending"}
+
+
 def test_lease_decision(spark):
     df = spark.createDataFrame([(None, None), ("me", 50), ("you", 50), ("you", 5)], "held string, until long")
     free = ledger.lease_decision(F.col("held"), F.col("until"), F.lit("me"), F.lit(10))
