@@ -4,12 +4,13 @@ An *item* is a key (here ``index_id, path``) with the version (content hash) tha
 sequence of *events*; the state is a fold over them, so it can be computed for all items at once by one aggregation:
 
 ``pending``  its present version has not been committed;
-``leased``   a run holds it and its lease has not expired;
+``leased``   a run holds it and its lease has not expired (in ``Ledger`` only);
 ``done``     its present version was committed by a writer whose fencing token was valid.
 
-A *run* is a lease over one index: it starts with a fencing token (its ``run_id`` in start order), and what it writes
-becomes part of the state only if it commits (``ok``). Records of failed or running runs, and records that a later
-run's token fences off, are rejected; their items thus return to ``pending`` and none is lost or repeated.
+``fold`` computes it from the tables of scans, writes and runs, which have no leases: a write carries no token and is
+credited to the run of its index in whose time span it falls (``run_id`` stands for the token). It becomes part of the
+state only if that run committed (``ok``); those of failed or running runs are rejected, and their items thus return to
+``pending``. Leases that expire, and tokens that are checked, are those of ``Ledger``, which no query uses.
 """
 
 from __future__ import annotations
