@@ -1,9 +1,11 @@
 """Functions paired with their documentation.
 
-Method: recursive patterns of the ``regex`` library capture the comment above a declaration, its signature and its
-balanced body in one match; strings, characters and comments are taken as wholes, so brackets inside them do not
-count. The capture is anchored at the symbol's first line in the file's text. Where the text cannot be captured (files
-that do not parse), the symbol's lines stand for it. Captures whose documentation is trivial are dropped.
+Method: recursive patterns of the ``regex`` library capture a declaration's signature and its balanced body in one match;
+strings, characters and comments are taken as wholes, so brackets inside them do not count. The capture is anchored at
+the symbol's first line in the file's text, so a comment above is not in it: the description is the symbol's ``doc``.
+Where the text cannot be captured (files that do not parse, or a match that takes more than ``CAPTURE_SECONDS`` of wall
+time, which depends on the machine's load), the symbol's lines stand for it. Symbols whose documentation is trivial are
+dropped before any text is captured.
 """
 
 from __future__ import annotations
