@@ -1,10 +1,13 @@
 import json
+import re
 import subprocess
 from datetime import datetime
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
 
+from codeseam.functions import scoring as S
 from codeseam.operators import evaluation as E
 from codeseam.operators import maintenance as M
 from codeseam.operators import usage as U
@@ -159,3 +162,19 @@ def test_git(spark, tmp_path):
     assert scope["branch_name"] == "main" and len(scope["head_sha"]) == 40 and scope["dirty"] == ["b c.ts"]
     assert [(r["subject"], sorted(r["paths"])) for r in corpus.git_log(spark, str(tmp_path)).collect()] == [("Add the first file", [".gitignore", "a.ts"])]
     assert corpus.porcelain("R  new\0old\0 M x\0??\0") == [("R ", "new"), (" M", "x")]
+
+
+def test_latencies_are_not_gathered(spark):
+    """Percentiles over all runs and by group, with nulls and a group without latencies; no list of a group's runs."""
+    random = Random(3)
+    rows = [(f"t{i % 50}", "abc"[i % 3] if i < 3000 else "d", 1.0, 0.5, 0.2, True, 1, 10, float(random.randrange(900)) if i % 7 and i < 3000 else None) for i in range(3010)]
+    m = spark.createDataFrame(rows, "task_id string, arm string, recall double, rr double, precision double, success boolean, tool_calls long, bytes_served long, elapsed_ms double")
+    for by in ([], ["arm"]):
+        out = E.aggregate(m, by)
+        assert "elapsed_ms" not in " ".join(re.findall(r"collect_list\([^)]*\)", out._jdf.queryExecution().optimizedPlan().toString()))
+        got = {r["arm"] if by else "": r for r in out.collect()}
+        assert set(got) == (set("abcd") if by else {""})
+        for key, r in got.items():
+            values = [x[8] for x in rows if x[8] is not None and key in ("", x[1])]
+            assert (r["p50_ms"], r["p95_ms"]) == (S.percentile(values, 50), S.percentile(values, 95))
+            assert r["samples"] == sum(key in ("", x[1]) for x in rows) and r["recall_ci"]["low"] == 1.0
