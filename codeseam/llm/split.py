@@ -4,7 +4,7 @@ Method: a text is cut into tokens (words and the white space between them), whos
 token end at which something ends naturally is a boundary of some strength (blank line, line, sentence, clause, word).
 For each piece the last boundary under the limit is found by binary search in the sorted array of the strongest kind
 that leaves a piece of a useful size; the next piece begins a step of at most ``overlap`` back, at the start of a line
-if one lies there, else of a word. A stretch without any boundary is cut hard at the limit.
+if one lies there before the cut, else of a word, else inside the word. A stretch without any boundary is cut hard at the limit.
 """
 
 from __future__ import annotations
@@ -75,12 +75,12 @@ def pieces(text: str, limit: int = 2000, overlap: int = 100) -> list[tuple[int,
             end = end - 1 if end - 1 > last else end
         out.append((begin, end))
         low = max(end - overlap, begin + 1)
-        k = bisect_left(lines, low)
-        if k < len(lines) and lines[k] <= end:
-            step = lines[k]
-        else:
-            k = bisect_left(starts, low)
-            step = starts[k] if k < len(starts) and starts[k] <= end else (low if overlap else end)
+        step = end if not overlap else low  # inside a word that is longer than the overlap
+        for natural in (lines, starts) if overlap else ():
+            k = bisect_left(natural, low)
+            if k < len(natural) and natural[k] < end:
+                step = natural[k]
+                break
         begin, last = step, end
 
 

@@ -41,3 +41,13 @@ def test_operator(spark):
     only = split.split_oversized(spark.createDataFrame(rows, DDL), oversized_only=True)
     assert {r["id"] for r in only.collect()} == {"a", "e"}
     assert split.split_oversized(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_pieces_share_text_wherever_the_cut_is():
+    """A long last line, or a long last word, does not keep pieces from sharing up to the overlap."""
+    line = "word " * 60 + "\n"
+    for text in (line * 20, "x" * 5000, ("y" * 150 + "\n") * 40):
+        cuts = split.pieces(text, 2000, 100)
+        assert all(0 < b - c <= 100 for (_, b), (c, _) in zip(cuts, cuts[1:]))
+    starts = [c for c, _ in split.pieces(line * 20, 2000, 100)[1:]]
+    assert all((line * 20)[c - 1] in " \n" for c in starts)  # at a word if there is one
