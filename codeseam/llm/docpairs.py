@@ -1,24 +1,22 @@
 """Functions paired with their documentation.
 
-Method: recursive patterns of the ``regex`` library capture a declaration's signature and its balanced body in one match;
-strings, characters and comments are taken as wholes, so brackets inside them do not count. The capture is anchored at
-the symbol's first line in the file's text, so a comment above is not in it: the description is the symbol's ``doc``.
-Where the text cannot be captured (files that do not parse, or a match that takes more than ``CAPTURE_SECONDS`` of wall
-time, which depends on the machine's load), the symbol's lines stand for it. Symbols whose documentation is trivial are
-dropped before any text is captured.
+Method: recursive patterns of the ``regex`` library capture a declaration's comment, its signature and its balanced body
+in one match; strings, characters and comments are taken as wholes, so brackets inside them do not count. The match
+begins at the first of the comments above the symbol's first line; in Python the string that begins the body is the
+comment, if there is one. Captures whose comment is trivial are dropped.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codeseam.session import broadcast_if_small, checkpointed
 
@@ -125,67 +123,98 @@ def tells(doc: str | None, name: str | None) -> bool:
 
 # -- capturing ---------------------------------------------------------------------------------------------------------
 
-_C_PARTS = r"""
-  (?(DEFINE)
-    (?<string> "(?:[^"\\\n]|\\.)*+" | '(?:[^'\\\n]|\\.)*+' | `(?:[^`\\]|\\.)*+` )
-    (?<note>   //[^\n]*+ | /\*(?:[^*]|\*(?!/))*+\*/ )
-    (?<round>  \( (?: (?&string) | (?&note) | (?&round) | (?&curly) | [^()"'`{}/]++ | / )*+ \) )
-    (?<curly>  \{ (?: (?&string) | (?&note) | (?&curly) | [^{}"'`/]++ | / )*+ \} )
-    (?<square> \[ (?: (?&string) | (?&note) | (?&square) | [^\[\]"'`/]++ | / )*+ \] )
-  )
-"""
+# The recursion is that of the whole pattern, whose first alternatives are brackets with what they hold: a group of its own
+# for them would keep each of its captures, and take a time that grows with the square of their number. Every alternative
+# begins with characters of its own and gives nothing back, so a text is read a bounded number of times however broken it is.
+
+_QUOTED = r"""(?: "(?:[^"\\\n]++|\\.)*+" | '(?:[^'\\\n]++|\\.)*+' | `(?:[^`\\]++|\\.)*+` )"""
+_NOTE = r"(?: //[^\n]*+ | /\*(?:[^*]++|\*(?!/))*+\*/ )"
+#: Comment, signature and balanced body of a declaration in a language with braces, from the comment's first line on. A
+#: declaration without a body ends with its semicolon.
 _BRACED = regex.compile(
-    _C_PARTS
-    + r"""
-  (?<comment> (?: [ \t]*+ (?&note) [ \t]*+ \r?\n )*+ )
-  (?<signature> [ \t]*+ (?: (?&string) | (?&round) | (?&square) | (?&note) | => | [^{};()\[\]"'`/\n=]++ | = | / | \n (?!\s*\n) )*? )
-  (?<body> (?&curly) | (?<==>)\s*+ (?: (?&string) | (?&round) | (?&square) | (?&curly) | [^;\n"'`()\[\]{}]++ | [^;\n] )++ )
+    rf"""
+    \( (?: {_QUOTED} | {_NOTE} | (?=[({{]) (?R) | [^()"'`{{}}/]++ | / )*+ \)
+  | \{{ (?: {_QUOTED} | {_NOTE} | (?=\{{) (?R) | [^{{}}"'`/]++ | / )*+ \}}
+  | \[ (?: {_QUOTED} | {_NOTE} | (?=\[) (?R) | [^\[\]"'`/]++ | / )*+ \]
+  | (?![(\[{{])
+    (?<comment> (?: [ \t]*+ {_NOTE} [ \t]*+ \r?\n )*+ )
+    (?<signature> [ \t]*+ (?> {_QUOTED} | (?=[(\[]) (?R) | {_NOTE} | => | [^{{}};()\[\]"'`/\n=]++ | = (?!>) | / (?![/*]) | \n (?!\s*+\n) )*? )
+    (?<body> (?=\{{) (?R) | (?<==>)\s*+ (?: {_QUOTED} | (?=[(\[{{]) (?R) | [^;\n"'`()\[\]{{}}]++ | [^;\n] )++ | ; )
 """,
     regex.VERBOSE | regex.VERSION1,
 )
 
+_PY_STRING = r"""(?: \"{3}(?:[^"\\]++|\\(?s:.)|"(?!""))*+"{3} | \'{3}(?:[^'\\]++|\\(?s:.)|'(?!''))*+'{3} | "(?:[^"\\\n]++|\\(?s:.))*+" | '(?:[^'\\\n]++|\\(?s:.))*+' )"""
+_PY_REST = rf"(?: {_PY_STRING} | (?=[(\[{{]) (?R) | \#[^\n]*+ | [^\n\"'()\[\]{{}}\#]++ )*+"
+
 
 @lru_cache(maxsize=256)
 def _indented(indent: str) -> regex.Pattern:
-    """A Python declaration at this indentation: its body goes on over blank, deeper and bracketed lines."""
+    """A Python declaration at this indentation with the comment above, and the string that its body may begin with: the
+    body goes on over blank, deeper and bracketed lines."""
+    deeper = indent.replace(" ", "[ ]").replace("\t", "[\\t]")
     return regex.compile(
         rf"""
-  (?(DEFINE)
-    (?<long>   \"{{3}}(?:[^"\\]|\\(?s:.)|"(?!""))*+"{{3}} | \'{{3}}(?:[^'\\]|\\(?s:.)|'(?!''))*+'{{3}} )
-    (?<string> (?&long) | "(?:[^"\\\n]|\\(?s:.))*+" | '(?:[^'\\\n]|\\(?s:.))*+' )
-    (?<round>  [(\[{{] (?: (?&string) | \#[^\n]*+ | (?&round) | [^()\[\]{{}}"'\#]++ )*+ [)\]}}] )
-    (?<rest>   (?: (?&string) | (?&round) | \#[^\n]*+ | [^\n"'()\[\]{{}}\#]++ )*+ )
-  )
-  (?<comment> (?: [ \t]*+ \#[^\n]*+ \n )*+ )
-  (?<signature> (?: [ \t]*+ @ (?&rest) \n )*+ [ \t]*+ (?:async[ ]+)?+ (?:def|class)\b (?: (?&string) | (?&round) | [^:\n"'()\[\]{{}}]++ )*+ : )
-  (?<body> (?&rest) (?: \n (?: [ \t\r]*+ (?=\n|\Z) | {indent.replace(" ", "[ ]").replace(chr(9), "[" + chr(92) + "t]")}[ \t]++ (?&rest) ) )*+ )
+    [(\[{{] (?: {_PY_STRING} | \#[^\n]*+ | (?=[(\[{{]) (?R) | [^()\[\]{{}}"'\#]++ )*+ [)\]}}]
+  | (?![(\[{{])
+    (?<comment> (?: [ \t]*+ \#[^\n]*+ \n )*+ )
+    (?<signature> (?: [ \t]*+ @ {_PY_REST} \n )*+ [ \t]*+ (?:async[ ]++)?+ (?:def|class)\b (?: {_PY_STRING} | (?=[(\[{{]) (?R) | [^:\n"'()\[\]{{}}]++ )*+ : )
+    (?: (?= (?: [ \t\r]*+ (?: \#[^\n]*+ )?+ \n )*+ [ \t]*+ [rRuU]?+ (?<inside> {_PY_STRING} ) ) )?+
+    (?<body> {_PY_REST} (?: \n (?: [ \t\r]*+ (?=\n|\Z) | {deeper}[ \t]++ {_PY_REST} ) )*+ )
 """,
         regex.VERBOSE | regex.VERSION1,
     )
 
 
-#: A capture is given up after so many seconds; the symbol's lines then stand for it.
-CAPTURE_SECONDS = 2.0
+class Capture(NamedTuple):
+    comment: str  # the comment above, or the string that begins the body
+    signature: str
+    code: str
+    whole: bool  # captured as a balanced whole
+
+
+def comment_line(line: Callable[[int], str], start_line: int, indented: bool) -> int:
+    """The first of the lines of comments and annotations that stand right above ``start_line``."""
+    first = start_line
+    while first > 1:
+        above = line(first - 1).strip()
+        if above.endswith("*/") and not indented:
+            opening = first - 1
+            while opening > 0 and "/*" not in line(opening):
+                opening -= 1
+            if not opening or not line(opening).lstrip().startswith("/*"):
+                break  # a comment behind code
+            first = opening
+        elif above.startswith(("#", "@") if indented else ("//", "@")):
+            first -= 1
+        else:
+            break
+    return first
 
 
-def capture(text: str, starts: list[int], start_line: int, end_line: int, indented: bool) -> tuple[str, str, bool]:
-    """Signature, code and whether both were captured as a balanced whole, of the declaration at ``start_line``.
+def capture(text: str, starts: list[int], start_line: int, end_line: int, indented: bool) -> Capture:
+    """The declaration at ``start_line`` with its comment, in one match from the comment's first line on. Where nothing
+    matches, the symbol's lines stand for the code and there is no comment.
 
     ``starts``: the offset at which each line of ``text`` begins.
     """
     n = len(starts)
     if not 1 <= start_line <= n:
-        return "", "", False
-    a = starts[start_line - 1]
-    b = starts[end_line] if start_line <= end_line < n else len(text)
-    line = text[a : text.find("\n", a) if "\n" in text[a:] else len(text)]
-    try:
-        m = (_indented(line[: len(line) - len(line.lstrip(" \t"))]) if indented else _BRACED).match(text, a, timeout=CAPTURE_SECONDS)
-    except TimeoutError:
+        return Capture("", "", "", False)
+    line = lambda no: text[starts[no - 1] : starts[no] if no < n else len(text)]
+    a, b = starts[start_line - 1], starts[end_line] if start_line <= end_line < n else len(text)
+    own = line(start_line)
+    pattern = _indented(own[: len(own) - len(own.lstrip(" \t"))]) if indented else _BRACED
+    m = None
+    for first in dict.fromkeys((comment_line(line, start_line, indented), start_line)):
+        m = pattern.match(text, starts[first - 1])
+        if m is not None and m.end("body") > a:  # and not a declaration that ends before
+            break
         m = None
     if m is None:
-        return text[a:b].split("\n", 1)[0].strip(), text[a:b].rstrip(), False
-    return m["signature"].strip(), text[m.start("signature") : m.end("body")].strip("\r\n"), True
+        return Capture("", own.strip(), text[a:b].rstrip(), False)
+    comment = (indented and m["inside"]) or m["comment"]
+    return Capture(comment.strip("\r\n"), m["signature"].strip(), text[m.start("signature") : m.end("body")].strip("\r\n"), True)
 
 
 #: Symbols of one file that a task holds together, on average.
@@ -202,23 +231,21 @@ def is_function(kind: str = "kind", signature: str = "signature") -> Column:
     return F.coalesce(k.isin("function", "method") | (k.isin("constant", "variable") & F.coalesce(F.col(signature).rlike(ASSIGNS_FUNCTION), F.lit(False))), F.lit(False))
 
 
-@F.pandas_udf(T.BooleanType())
-def _tells(doc: pd.Series, name: pd.Series) -> pd.Series:
-    remembered = lru_cache(maxsize=50_000)(tells)
-    return pd.Series([remembered(d, n) for d, n in zip(doc, name)], dtype=bool)
-
-
 def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """``symbol_id, name, kind, path, signature, description, code, captured``: one pair for each distinct symbol.
 
-    Taken are functions, methods and constants that assign a function, whose ``doc`` tells what they do. ``code`` is
-    the captured declaration; it is the symbol's lines where nothing can be captured (``captured`` is false then), and
-    null if the file is missing. Symbols without doc are dropped before the file texts are touched, and each file's
-    text is shuffled once, to the list of its symbols' lines; a file with very many symbols is met by several lists.
+    Taken are functions, methods and constants that assign a function, whose documentation tells what they do. Comment,
+    signature and body are captured together in the file's text (``captured``), and a capture whose comment is trivial is
+    dropped; the symbol's ``doc`` is checked afterwards and has to tell as well. ``doc`` is the description where the text
+    has no comment there or nothing can be captured; ``code`` is then the symbol's lines, and null if the file is missing.
+    Symbols with a null doc are dropped before the file texts are touched, and each file's text is shuffled once, to the
+    list of its symbols' lines; a file with very many symbols is met by several lists. Of a repeated id or file one row
+    counts.
     """
-    wanted = symbols.where(is_function() & F.col("doc").isNotNull()).select("id", "file_id", "name", "kind", "path", "signature", "start_line", "end_line", "doc").distinct()
-    wanted = checkpointed(wanted.where(_tells(F.col("doc"), F.col("name"))).dropDuplicates(["id"]))  # used for counts and for pairs
-    counts = wanted.groupBy("file_id").count().where(F.col("count") > SYMBOLS_AT_ONCE).select(F.col("file_id").alias("_hot"), F.ceil(F.col("count") / SYMBOLS_AT_ONCE).alias("_parts"))
+    functions = symbols.where(is_function() & F.col("doc").isNotNull())
+    wanted = functions.select("id", "file_id", "name", "kind", "path", "signature", "start_line", "end_line", "doc").dropDuplicates(["id"])
+    counts = functions.groupBy("file_id").count().where(F.col("count") > SYMBOLS_AT_ONCE)
+    counts = checkpointed(counts.select(F.col("file_id").alias("_hot"), F.ceil(F.col("count") / SYMBOLS_AT_ONCE).alias("_parts")))
     wanted = wanted.join(broadcast_if_small(counts), F.col("file_id").eqNullSafe(F.col("_hot")), "left")
     wanted = wanted.withColumn("_part", F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1))))
     texts = files.select(F.col("file_id").alias("_file"), "content").dropDuplicates(["_file"])
@@ -233,13 +260,14 @@ def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
             for text, symbols_ in zip(b["content"], b["symbols"]):
                 starts = [0, *(m.end() for m in re.finditer("\n", text))] if text is not None else []
                 for s in symbols_:
-                    signature, code, whole = s["signature"], None, False
+                    found = Capture("", "", "", False)
                     if text is not None:
                         first = int(s["start_line"]) if pd.notna(s["start_line"]) else 0
                         last = int(s["end_line"]) if pd.notna(s["end_line"]) else first
-                        found, code, whole = capture(text, starts, first, last, str(s["path"]).endswith((".py", ".pyi")))
-                        signature = signature or found or None
-                    out.append((s["id"], s["name"], s["kind"], s["path"], signature, prose(s["doc"]), code or None, whole))
+                        found = capture(text, starts, first, last, str(s["path"]).endswith((".py", ".pyi")))
+                    comment = found.comment or s["doc"]
+                    if tells(comment, s["name"]) and (comment == s["doc"] or tells(s["doc"], s["name"])):
+                        out.append((s["id"], s["name"], s["kind"], s["path"], s["signature"] or found.signature or None, prose(comment), found.code or None, found.whole))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return per_file.join(texts, F.col("file_id") == F.col("_file"), "left").select("content", "symbols").mapInPandas(pair, schema)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from codeseam.llm import docpairs as D
 
@@ -56,8 +57,33 @@ CAPTURES = [
 @pytest.mark.parametrize(("path", "text", "first", "last"), CAPTURES)
 def test_capture(path, text, first, last):
     starts = [0, *(i + 1 for i, c in enumerate(text) if c == "\n")]
-    _, code, whole = D.capture(text, starts, first, last, path.endswith(".py"))
-    assert whole and code == "\n".join(text.split("\n")[first - 1 : last]).rstrip(";")
+    got = D.capture(text, starts, first, last, path.endswith(".py"))
+    assert got.whole and got.code.rstrip(";") == "\n".join(text.split("\n")[first - 1 : last]).rstrip(";")
+
+
+COMMENTS = [
+    ("a.ts", "let x;\n/**\n * Reads rows.\n */\n@dec()\nexport function f(a) {\n}\n", 6, "/**\n * Reads rows.\n */"),
+    ("a.ts", "let x; /* not this */\nfunction f(a) {\n}\n", 2, ""),
+    ("a.ts", "// far away\n\nfunction f(a) {\n}\n", 3, ""),
+    ("a.go", "// Reads\n// rows.\nfunc f() {\n}\n", 3, "// Reads\n// rows."),
+    ("A.java", "interface A {\n  /** Reads rows. */\n  int f(int a);\n  int g();\n}", 3, "  /** Reads rows. */"),
+    ("a.py", "class A:\n    # above\n    @dec\n    def f(self, a=':'):\n\n        r\"\"\"Reads rows: (\n        all.\"\"\"\n        return a\n", 4, '\"\"\"Reads rows: (\n        all.\"\"\"'),
+    ("a.py", "# Reads rows.\ndef f():\n    return 1\n", 2, "# Reads rows."),
+]
+
+
+@pytest.mark.parametrize(("path", "text", "first", "comment"), COMMENTS)
+def test_comment_is_part_of_the_capture(path, text, first, comment):
+    starts = [0, *(i + 1 for i, c in enumerate(text) if c == "\n")]
+    got = D.capture(text, starts, first, first + 1, path.endswith(".py"))
+    assert got.whole and got.comment == comment
+
+
+@pytest.mark.parametrize("text", ["function f" + "(" * 30_000, "function f(a) {" + "{" * 20_000, "const f = " + "a => " * 20_000 + "(", "function f(a) { '" * 3_000, "/*" * 50_000, "def f(" + "[" * 20_000, "def f():\n" + "    x = [\n" * 5_000])
+def test_broken_texts_are_given_up_by_their_form(text):
+    for indented in (False, True):
+        starts = [0, *(i + 1 for i, c in enumerate(text) if c == "\n")]
+        assert D.capture(text, starts, 1, 1, indented).code
 
 
 def test_operator(spark):
@@ -80,5 +106,8 @@ def test_operator(spark):
     out = {r["symbol_id"]: r for r in D.documented_functions(spark.createDataFrame(rows, s_ddl), f).collect()}
     assert set(out) == {"1", "2", "5", "6", "9"}
     assert out["1"]["code"] == "function add(a) {\n  return a;\n}" and out["1"]["captured"] and out["1"]["description"] == "Adds a row and counts it."
+    assert out["2"]["captured"] and out["2"]["description"] == "Adds a row and counts it." and out["2"]["code"] == "const b = () => {\n}"
     assert out["5"]["captured"] is False and out["6"]["code"] is None and out["9"]["code"] is None
     assert D.documented_functions(spark.createDataFrame([], s_ddl), f).count() == 0
+    other = f.select("file_id", F.lit("// TODO: say more\nfunction add(a) {\n}\n").alias("content"))  # the file says less than the table
+    assert {r["symbol_id"] for r in D.documented_functions(spark.createDataFrame(rows[:1], s_ddl), other).collect()} == set()
