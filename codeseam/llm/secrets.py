@@ -22,10 +22,13 @@ from typing import NamedTuple
 
 import ahocorasick
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeseam.session import broadcast_if_small, checkpointed
+
 
 class Hit(NamedTuple):
     kind: str
@@ -51,7 +54,7 @@ ISSUERS = {
     "hugging_face": r"hf_[A-Za-z0-9]{30,}",
     "digitalocean": r"do[opr]_v1_[0-9a-f]{64}",
     "shopify": r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}",
-    "twilio": r"SK[0-9a-f]{32}(?![0-9a-f])",
+    "twilio": r"SK[0-9a-f]{32}(?![0-9A-Za-z])",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{16,}",
     "age": r"AGE-SECRET-KEY-1[0-9A-Z]{50,}",
 }
@@ -181,6 +184,8 @@ def _valid(kind: str, value: str) -> bool:
     return True
 
 
+#: Issuers whose beginning is too short for the automaton: it would pick nearly every line.
+_SHORT_PREFIX = re.compile(r"(?<![A-Za-z0-9_])(?:" + ISSUERS["twilio"] + ")")
 _ISSUER = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in ISSUERS.items()) + ")")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"(?:\\[nr]|[\s\"'+,>#*|]|//)*(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*(?:\\[nr]|\s)+)*([A-Za-z0-9+/=]{16,}(?:(?:\\[nr]|[\s\"'+,>#*|]|//)+[A-Za-z0-9+/=]+)*)")
@@ -224,6 +229,7 @@ def _encoded(prefixes) -> set[str]:
 
 
 _ENCODED_BEGIN = re.compile("|".join(sorted(_encoded(["-----BEGIN"]))))
+_B64_ONLY = re.compile(r"[A-Za-z0-9+/=\s]*+")
 _B64_RUN = re.compile(r"[A-Za-z0-9+/]{20,}={0,2}")
 #: Lines of nothing else, in which a long value goes on.
 _B64_LINES = re.compile(r"(?:(?:[ \t\r]|\\[nr])*\n[ \t]*[A-Za-z0-9+/]+={0,2}(?=[ \t]*\r?(?:\n|\Z)))*+")
@@ -249,6 +255,12 @@ def _encoded_key(text: str, start: int, end: int) -> tuple[int, int] | None:
     return None
 
 
+def _in_data_uri(line: str, at: int) -> bool:
+    """True if nothing but Base64 stands between a data URI's head and this place."""
+    head = line.rfind("base64,", 0, at)
+    return head >= 0 and _B64_ONLY.fullmatch(line, head + 7, at) is not None
+
+
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
@@ -280,6 +292,7 @@ def _find(text: str, path: str | None, kept: list[tuple[int, int]] | None) -> li
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     breaks = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
     lines = {bisect_right(breaks, end) - (1 if end not in (breaks[bisect_right(breaks, end) - 1],) else 2) for end, _ in _automaton().iter(lower)}
+    lines |= {bisect_right(breaks, m.start() - 1) - 1 for m in _SHORT_PREFIX.finditer(text)}
     found: list[tuple[int, int, str]] = []
     add = lambda kind, a, b: found.append((a, b, kind))
     bare = not (path and _CODE.search(path))
@@ -295,7 +308,7 @@ def _find(text: str, path: str | None, kept: list[tuple[int, int]] | None) -> li
             if body or not text[a + m.end() :].strip():
                 add("private_key", a + m.start(), body.end(1) if body else a + m.end())
         for m in _ISSUER.finditer(line):
-            if _valid(m.lastgroup, m.group()) and "base64," not in line[max(0, m.start() - 200) : m.start()]:
+            if _valid(m.lastgroup, m.group()) and not _in_data_uri(line, m.start()):
                 add(m.lastgroup, a + m.start(), a + m.end())
         for m in _URL.finditer(line):
             if not placeholder(m[2]) and len(m[2]) >= 4:
@@ -406,20 +419,31 @@ def redact(text: str, hits: list[Hit]) -> str:
     return "".join(out)
 
 
-#: Texts that a worker remembers, so that copies are scanned once; beyond it the memory begins anew.
-REMEMBERED = 20_000
+#: Bytes by which a worker remembers what it has found in texts, so that copies are scanned once; beyond it memory begins
+#: anew, which changes the speed only. A text is remembered by its hash.
+REMEMBERED_BYTES = 32 * 1024 * 1024
+_ENTRY_BYTES, _HIT_BYTES = 250, 400
 
 
-def _remembering(work):
-    known: dict = {}
+def _remembering():
+    """``find`` with a memory."""
+    known: dict[bytes, list[Hit]] = {}
+    held = 0
 
-    def run(text, path):
-        key = (text, bool(path and _CODE.search(path)))
-        if key not in known:
-            if len(known) >= REMEMBERED:
+    def run(text: str | None, path: str | None) -> list[Hit]:
+        nonlocal held
+        if not text:
+            return []
+        key = xxhash.xxh3_128_digest(f"{bool(path and _CODE.search(path))}{text}".encode("utf-8", "surrogatepass"))
+        hits = known.get(key)
+        if hits is None:
+            hits = find(text, path)
+            held += _ENTRY_BYTES + len(hits) * _HIT_BYTES
+            if held > REMEMBERED_BYTES:
                 known.clear()
-            known[key] = work(text, path)
-        return known[key]
+                held = 0
+            known[key] = hits
+        return hits
 
     return run
 
@@ -436,7 +460,7 @@ def find_credentials(df: DataFrame, key: str = "id", content: str = "content", p
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scan = _remembering(find)
+        scan = _remembering()
         for b in batches:
             out = [
                 (k, line + text.count("\n", 0, hit.start), hit.kind, hit.start, hit.spans[-1][1])
@@ -453,20 +477,97 @@ def credential_lines(df: DataFrame, key: str = "id", **columns: str) -> DataFram
     return find_credentials(df, key, **columns).select(key, "line_no").distinct()
 
 
-def redact_credentials(df: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
-    """All rows and columns of ``df`` with redacted ``content`` and the number of credentials as ``n_redacted``, which
-    replaces a column of that name. Null contents stay null with 0 credentials."""
-    df = df.drop("n_redacted")
-    schema = T.StructType([*df.schema.fields, T.StructField("n_redacted", T.IntegerType())])
+_BODY_LINE = re.compile(r"[\s\"'+,>#*|/]*(?:[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/]{1,15}={0,2})[\s\"'+,\\nr]*")
+_BODY_FIRST = r"^[\s\"'+,>#*|/]*[A-Za-z0-9+/=]{16,}[\s\"'+,\\nr]*(\n|$)"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def work(text, p):
-            hits = find(text, p)
-            return redact(text, hits) if hits else text, len(hits)
 
-        scan = _remembering(work)
+def _leading_body(text: str) -> tuple[int, int, bool]:
+    """Of a text that begins inside a key block: the characters and lines of the block, and whether it goes on at the end."""
+    at = lines = 0
+    for line in text.split("\n"):
+        if not _BODY_LINE.fullmatch(line) or "-----" in line:
+            return at, lines, False
+        at, lines = at + len(line) + 1, lines + 1
+    return len(text), lines, True
+
+
+def key_continuations(chunks: DataFrame, key: str = "id", content: str = "content", path: str = "path") -> DataFrame:
+    """``key, inside``: the rows of ``chunks`` that begin inside a private key block of an earlier chunk of their file, with
+    the number of leading characters that belong to it.
+
+    ``chunks`` has ``file_id, start_line, end_line`` as well. Only rows with a key's mark and rows that begin with a line of
+    Base64, of files that have such a mark, are looked at; of a file their line numbers are gathered, not their texts.
+    """
+    rows = chunks.where(F.col(content).isNotNull() & F.col("file_id").isNotNull()).select(
+        F.col(key).alias("key"), "file_id", F.coalesce("start_line", F.lit(1)).cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), F.col(content).alias("content"), F.col(path).alias("path")
+    )
+    ddl = "key string, file_id string, first int, last int, goes_on boolean, inside int, opens boolean"
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, f, line, text, p in zip(b["key"], b["file_id"], b["start_line"], b["content"], b["path"]):
+                for hit in find(text, p):
+                    if hit.kind == "private_key":
+                        end = hit.spans[-1][1]
+                        last = line + text.count("\n", 0, end)
+                        out.append((k, f, int(line + text.count("\n", 0, hit.start)), int(last), not text[end:].strip(), 0, True))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ddl.split(", ")])
+
+    def leading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, f, line, text in zip(b["key"], b["file_id"], b["start_line"], b["content"]):
+                inside, n, goes_on = _leading_body(text)
+                out.append((k, f, int(line), int(line + n - 1), goes_on, inside, False))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ddl.split(", ")])
+
+    opened = checkpointed(rows.where(F.col("content").contains("PRIVATE KEY")).mapInPandas(marks, ddl))
+    begun = rows.where(F.col("content").rlike(_BODY_FIRST)).join(broadcast_if_small(opened.select("file_id").distinct()), "file_id", "left_semi")
+    spans = opened.unionByName(begun.select("key", "file_id", "start_line", "content").mapInPandas(leading, ddl))
+    per_file = spans.groupBy("file_id").agg(F.array_sort(F.collect_set(F.struct("first", ~F.col("opens"), "last", "goes_on", "inside", "key"))).alias("spans"))
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [scan(t, p) for t, p in zip(b[content], b[path])]
-            yield b.assign(**{content: [t for t, _ in done], "n_redacted": [n for _, n in done]})
+            out = []
+            for spans_ in b["spans"]:
+                since, until = 1, 0  # the lines after the block's first that belong to it, as far as is known
+                for first, begins, last, goes_on, inside, k in (tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in spans_):
+                    if not begins:
+                        since, until = (first, max(until, last + goes_on)) if first <= until else (first, last + goes_on)
+                    elif since < first <= until and inside:
+                        out.append((k, inside))
+                        until = max(until, last + goes_on)
+            yield pd.DataFrame(out, columns=["key", "inside"])
+
+    return per_file.mapInPandas(follow, "key string, inside int").groupBy("key").agg(F.max("inside").alias("inside")).withColumnRenamed("key", key)
+
+
+def redact_credentials(df: DataFrame, content: str = "content", path: str = "path", key: str = "id") -> DataFrame:
+    """All rows and columns of ``df`` with redacted ``content`` and the number of credentials that begin there as
+    ``n_redacted``, which replaces a column of that name. Null contents stay null with 0 credentials.
+
+    Where ``df`` has ``file_id, start_line, end_line``, a private key that goes on in the next pieces of its file is blanked
+    there too.
+    """
+    df = df.drop("n_redacted", "_inside")
+    if {key, "file_id", "start_line", "end_line"} <= set(df.columns):
+        more = broadcast_if_small(checkpointed(key_continuations(df, key, content, path)).withColumnsRenamed({key: "_key", "inside": "_inside"}))
+        rows = df.join(more, F.col(key) == F.col("_key"), "left").drop("_key")
+    else:
+        rows = df.withColumn("_inside", F.lit(None).cast("int"))
+    schema = T.StructType([*df.schema.fields, T.StructField("n_redacted", T.IntegerType())])
 
-    return df.mapInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scan = _remembering()
+        for b in batches:
+            texts, numbers = [], []
+            for text, p, inside in zip(b[content], b[path], b["_inside"]):
+                hits = scan(text, p)
+                numbers.append(len(hits))
+                if pd.notna(inside):
+                    hits = [Hit("encoded_key", ((0, int(inside)),)), *hits]
+                texts.append(redact(text, hits) if hits else text)
+            yield b.drop(columns=["_inside"]).assign(**{content: texts, "n_redacted": numbers})
+
+    return rows.mapInPandas(run, schema)

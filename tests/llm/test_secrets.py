@@ -128,3 +128,29 @@ def test_operator(spark):
     assert done[0]["content"] == 'x = 1\r\npassword = "Xxxxxx-0000x"\r\n' and done[2]["content"] is None
     assert {r["n_redacted"] for r in S.redact_credentials(df).collect()} == {0, 1}  # a column of that name is replaced
     assert S.credential_lines(spark.createDataFrame([], ddl)).count() == 0
+
+
+def test_short_prefixes_and_data_uris():
+    sid = "SK" + "0a1b2c3d4e5f60718293a4b5c6d7e8f9"
+    assert [h.kind for h in S.find(f'call("{sid}");\n', "a.js")] == ["twilio"]
+    assert S.find(f'call("{sid}0");\n', "a.js") == [] and S.find(f'x = "RI{sid}"\n', "a.py") == []
+    body = B64("".join(random.Random(2).choices(string.ascii_letters, k=3000)))
+    assert S.find(f'icon = "data:image/png;base64,{body}/{AKIA}"\n', "a.py") == []
+    assert [h.kind for h in S.find(f'icon = "data:image/png;base64,{body}", call("{AKIA}")\n', "a.py")] == ["aws_access_key"]
+
+
+def test_keys_that_go_on_in_the_next_chunk(spark):
+    text = "a: 1\n" + pem(5_000) + "b: 2\n"
+    lines = text.split("\n")
+    cert = "\n".join(pem(1_000, "CERTIFICATE").split("\n")[1:5])
+    ddl = "id string, file_id string, path string, start_line int, end_line int, content string"
+    piece = lambda i, f, a, b: (i, f, "k.txt", a, b, "\n".join(lines[a - 1 : b]))
+    rows = [piece("1", "f", 1, 20), piece("2", "f", 19, 40), piece("3", "f", 41, 60), piece("4", "f", 60, len(lines)), ("5", "g", "c.txt", 41, 44, cert), ("6", "f", "k.txt", 200, 203, cert)]
+    rows += [("7", "h", "k.txt", 1, 4, "\n".join(["-----BEGIN PRIVATE KEY-----", *lines[2:5]])), rows[1], ("8", None, None, None, None, None), ("9", "f", "k.txt", None, None, "")]
+    out = {r["id"]: r for r in S.redact_credentials(spark.createDataFrame(rows, ddl)).collect()}
+    for r in rows[:4]:
+        got = out[r[0]]["content"]
+        assert len(got) == len(r[5]) and got.count("\n") == r[5].count("\n")
+        assert not any(x in got for x in lines[2:-4] if len(x) > 20), r[0]
+    assert "b: 2" in out["4"]["content"] and out["5"]["content"] == cert and out["6"]["content"] == cert
+    assert [out[i]["n_redacted"] for i in "1234"] == [1, 0, 0, 0]
