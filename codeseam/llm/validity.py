@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +35,10 @@ EXTENSIONS: dict[str, tuple[str, type[Parser]]] = {
     "json": ("json", json_.Json),
 }
 
-#: Texts whose faults a worker remembers, so that copies are parsed once; beyond it the memory begins anew.
-REMEMBERED = 10_000
+#: Bytes by which a worker remembers texts it has parsed, so that copies are parsed once; beyond it memory begins anew,
+#: which changes the speed only. A text is remembered by its hash, which takes far less than its faults.
+REMEMBERED_BYTES = 32 * 1024 * 1024
+_ENTRY_BYTES, _FAULT_BYTES = 250, 400
 
 
 def faults(text: str | None, extension: str) -> list[Fault]:
@@ -57,24 +60,29 @@ def check_syntax(files: DataFrame, key: str = "file_id") -> DataFrame:
     rows = (
         files.select(F.col(key).alias("key"), "index_id", "path", extension().alias("extension"), "content")
         .where(F.col("extension").isin(*EXTENSIONS))
-        .dropDuplicates(["key"])
     )
     fault = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("message", T.StringType())])
     schema = T.StructType([rows.schema["key"], rows.schema["index_id"], rows.schema["path"], rows.schema["extension"], T.StructField("faults", T.ArrayType(fault))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple[str, str], list[dict]] = {}
+        known: dict[bytes, list[dict]] = {}
+        held = 0
         for batch in batches:
             out = []
             for text, e in zip(batch["content"], batch["extension"]):
-                if (e, text) not in known:
-                    if len(known) >= REMEMBERED:
+                key = xxhash.xxh3_128_digest(f"{e}\0{text}".encode("utf-8", "surrogatepass"))
+                if key not in known:
+                    found = [{"line": f.line, "message": f.message} for f in faults(text, e)]
+                    held += _ENTRY_BYTES + len(found) * _FAULT_BYTES
+                    if held > REMEMBERED_BYTES:
                         known.clear()
-                    known[e, text] = [{"line": f.line, "message": f.message} for f in faults(text, e)]
-                out.append(known[e, text])
+                        held = 0
+                    known[key] = found
+                out.append(known[key])
             yield batch[["key", "index_id", "path", "extension"]].assign(faults=out)
 
-    return rows.mapInPandas(run, schema).select(
+    # a repeated key is dropped when it has been parsed, as faults are far less to shuffle than texts
+    return rows.mapInPandas(run, schema).dropDuplicates(["key"]).select(
         F.col("key").alias(key),
         "index_id",
         "path",
