@@ -28,6 +28,8 @@ LABELS = ["handwritten", "generated", "minified", "vendored", "blob"]
 PRIOR = 3.0
 #: A directory's file, and a directory's subdirectory, has its label with this weight against each other label.
 SAME_FILE, SAME_DIRECTORY = 4.0, 6.0
+#: Characters from which the look of a script, and that of data, speaks with its full weight; of shorter texts in proportion.
+ENOUGH_SCRIPT, ENOUGH_DATA = 400, 1200
 
 # -- evidence of a file ------------------------------------------------------------------------------------------------
 
@@ -140,22 +142,24 @@ def evidence(path: str | None, content: str | None, repository: str | None = Non
         newlines = text.count("\n") + 1
         per_line = len(text) / newlines
         blank = (text.count(" ") + text.count("\t") + newlines) / len(text)
-        if _SCRIPT.search(name) and len(text) > 400:
+        # what the look of a text says grows with its length until the text is long enough to tell
+        if _SCRIPT.search(name):
             if per_line > 250 and blank < 0.12:
-                minified += 6.0
+                minified += 6.0 * min(1.0, len(text) / ENOUGH_SCRIPT)
             if _BANNER.match(text):
-                minified += 2.0
+                minified += 2.0 * min(1.0, len(text) / ENOUGH_SCRIPT)
             if _BUNDLER.search(text):
-                minified += 4.5
-        if _DATA_NAME.search(name) and len(text) > 1200:
+                minified += 4.5 * min(1.0, len(text) / ENOUGH_SCRIPT)
+        if _DATA_NAME.search(name):
+            enough = min(1.0, len(text) / ENOUGH_DATA)
             share, numbers, encoded = (_covered(p, text) / len(text) for p in (_NUMBERS, _NUMBER, _ENCODED))
             if share > 0.85 and numbers > 0.3 or encoded > 0.75:
-                blob += 7.0
+                blob += 7.0 * enough
             if name.lower().endswith(".json"):
                 if _LOCKFILE.search(text) or text.count('"integrity"') > 3:
-                    generated += 6.0
+                    generated += 6.0 * enough
                 elif per_line > 800 or sum(1 for _ in _RECORDS.finditer(text)) > 20:
-                    blob += 6.0
+                    blob += 6.0 * enough
     return [hand, generated, minified, vendored, blob]
 
 
@@ -248,7 +252,6 @@ def classify(files: DataFrame, indexes: DataFrame) -> DataFrame:
     names = broadcast_if_small(indexes.select(F.col("id").alias("_id"), F.element_at(F.split("repo_root", "/"), -1).alias("repository")).dropDuplicates(["_id"]))
     rows = (
         files.select("file_id", F.coalesce("index_id", F.lit("")).alias("tree"), "path", "content")
-        .dropDuplicates(["file_id"])
         .join(names, F.col("tree") == F.col("_id"), "left")
         .drop("_id")
     )
@@ -262,7 +265,8 @@ def classify(files: DataFrame, indexes: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame(out, columns=schema.names)
 
-    seen = checkpointed(rows.mapInPandas(look, schema).withColumnRenamed("file_id", "file"))  # read by both passes
+    # read by both passes; a repeated file_id is dropped when it has been looked at, as texts are much more to shuffle
+    seen = checkpointed(rows.mapInPandas(look, schema).dropDuplicates(["file_id"]).withColumnRenamed("file_id", "file"))
     beliefs = propagate(seen)
     beliefs = beliefs.withColumn("top", F.greatest(*_B))
     top = F.col("top")
