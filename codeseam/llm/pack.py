@@ -147,10 +147,10 @@ def pack(items: DataFrame, key: str, tokens: Column, capacity: int = 2048) -> Da
 
 
 def fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:
-    """One row: ``containers, items, tokens, waste_share, least_containers``."""
+    """One row: ``containers, items, tokens, waste_share, least_containers``. Containers are numbered from 0 without gaps."""
     used = packed.where(F.col("container").isNotNull())
     return used.agg(
-        F.countDistinct("container").alias("containers"),
+        (F.coalesce(F.max("container"), F.lit(-1)) + 1).alias("containers"),
         F.count("*").alias("items"),
         F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"),
     ).select(

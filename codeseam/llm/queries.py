@@ -66,12 +66,16 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), "doc_id", bpe.count_tokens())
 
 
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.fill(p8_packed(spark, sf_dir))
+
+
 def p9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.measure_repetition(table(spark, sf_dir, "documents"))
+    return repetition.beyond_limits(repetition.measure_repetition(table(spark, sf_dir, "documents")))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.mostly_repeated(p9_repetition(spark, sf_dir)).select("doc_id")
+    return p9_repetition(spark, sf_dir).where("share_beyond").select("doc_id")
 
 
 QUERIES = {
@@ -89,6 +93,7 @@ QUERIES = {
     "p6_labels": p6_labels,
     "p7_ids": p7_ids,
     "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_repetition": p9_repetition,
 }

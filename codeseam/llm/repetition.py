@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 MIN_WORDS = 5
 MIN_CHARACTERS = 10
 LEAST_SHARE = (3, 10)
+#: The longest repeat that a document may have, in words and in characters of scripts without spaces.
+MOST_WORDS, MOST_CHARACTERS = 100, 200
 
 #: Scripts that are written without spaces between words.
 _SPACELESS = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}ー]"
@@ -170,6 +172,15 @@ def measure_repetition(df: DataFrame, key: str = "doc_id", text: str = "text") -
     return found.withColumn("repeated_share", share)
 
 
+def beyond_limits(measured: DataFrame, share: tuple[int, int] = LEAST_SHARE, words: int = MOST_WORDS, characters: int = MOST_CHARACTERS) -> DataFrame:
+    """``measured`` with ``share_beyond``, ``longest_beyond`` (the longest repeat is longer than ``words`` or ``characters``)
+    and ``repetitive``, which is true if either is. A document without units is within both limits."""
+    most = F.when(F.col("by_characters"), characters).otherwise(words)
+    over = (F.col("units") > 0) & (F.col("repeated_units") * share[1] >= F.col("units") * share[0])
+    rows = measured.withColumns({"share_beyond": over, "longest_beyond": F.col("longest_repeat") > most})
+    return rows.withColumn("repetitive", F.col("share_beyond") | F.col("longest_beyond"))
+
+
 def mostly_repeated(measured: DataFrame, least: tuple[int, int] = LEAST_SHARE) -> DataFrame:
     """The rows whose repeated share is at least ``least``, compared in whole numbers."""
-    return measured.where((F.col("units") > 0) & (F.col("repeated_units") * least[1] >= F.col("units") * least[0]))
+    return beyond_limits(measured, least).where("share_beyond").select(*measured.columns)

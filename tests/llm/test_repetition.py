@@ -49,3 +49,11 @@ def test_operator(spark):
     assert by[3]["repeated_share"] == 0.0 and by[4]["units"] == 0 and by[7]["by_characters"]
     assert {r["doc_id"] for r in R.mostly_repeated(out).collect()} == {1, 6, 7}
     assert R.measure_repetition(spark.createDataFrame([], ddl)).count() == 0
+
+
+def test_limits(spark):
+    ddl = "doc_id long, units long, repeated_units long, longest_repeat long, by_characters boolean, repeated_share double"
+    rows = [(1, 10, 3, 3, False, 0.3), (2, 1000, 101, 101, False, 0.101), (3, 1000, 100, 100, False, 0.1), (4, 1000, 150, 150, True, 0.15), (5, 0, 0, 0, False, 0.0)]
+    out = {r["doc_id"]: (r["share_beyond"], r["longest_beyond"], r["repetitive"]) for r in R.beyond_limits(spark.createDataFrame(rows, ddl)).collect()}
+    no = (False, False, False)
+    assert out == {1: (True, False, True), 2: (False, True, True), 3: no, 4: no, 5: no}
