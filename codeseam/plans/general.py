@@ -12,13 +12,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.pending(*(table(spark, sf_dir, t) for t in ("scanned_files", "files", "index_runs")))
 
 
+#: The moment at which the ledger is looked at, and how long a run may hold its index.
+NOW, TTL = 1_772_006_000_000, 30 * ledger.DAY_MS
+
+
 def p5_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.fold(*(table(spark, sf_dir, t) for t in ("scanned_files", "files", "index_runs"))).drop("done_token")
+    return ledger.fold(*(table(spark, sf_dir, t) for t in ("scanned_files", "files", "index_runs")), now=NOW, ttl=TTL).drop("done_token")
 
 
 QUERIES = {"p5_found": p5_found, "p5_ledger": p5_ledger}
 
-_LEDGER = """
+_LEDGER = f"""
 WITH terms AS (
   SELECT index_id, run_id, state, started_at, lead(started_at) OVER (PARTITION BY index_id ORDER BY started_at) AS until
   FROM (SELECT index_id, started_at, max(run_id) AS run_id, arg_max(state, run_id) AS state
@@ -35,7 +39,9 @@ WITH terms AS (
   FROM scanned_files
 ), ledger AS (
   SELECT s.index_id, s.path, s.version, w.done_version, w.done_token,
-         CASE WHEN s.version = w.done_version THEN 'done' ELSE 'pending' END AS state
+         CASE WHEN s.version = w.done_version THEN 'done'
+              WHEN s.index_id IN (SELECT index_id FROM terms WHERE state = 'running' AND until IS NULL AND started_at <= {NOW} AND started_at + {TTL} > {NOW}) THEN 'leased'
+              ELSE 'pending' END AS state
   FROM (SELECT * FROM scans WHERE rn = 1) s
   LEFT JOIN (SELECT * FROM writes WHERE rn = 1) w
     ON s.index_id IS NOT DISTINCT FROM w.index_id AND s.path IS NOT DISTINCT FROM w.path
@@ -43,6 +49,6 @@ WITH terms AS (
 """
 
 ORACLES = {
-    "p5_found": _LEDGER + "SELECT index_id, path FROM ledger WHERE state = 'pending'",
+    "p5_found": _LEDGER + "SELECT index_id, path FROM ledger WHERE state <> 'done'",
     "p5_ledger": _LEDGER + "SELECT * EXCLUDE (done_token) FROM ledger",
 }

@@ -31,22 +31,39 @@ def test_only_committed_runs_count(spark):
     done = {(r["index_id"], r["path"]) for r in rows if r["state"] == "done"}
     assert done == {("i", "same")}
     assert ledger.pending(*args).count() == 10
+    held = lambda now: {(r["index_id"], r["path"]) for r in ledger.fold(*args, now=now, ttl=50).collect() if r["state"] == "leased"}
+    assert held(399) == held(450) == set() and len(held(449)) == 8 and {i for i, _ in held(420)} == {"i"}  # the run of 400 holds what it has not done
     none = [a.limit(0) for a in args]
     assert ledger.pending(none[0], args[1], args[2]).count() == 0
     assert ledger.pending(args[0], none[1], none[2]).count() == 11
 
 
+def terms(spark, runs):
+    return ledger.lease_terms(ledger.run_leases(spark.createDataFrame(runs, RUN), ttl=50), ["index_id"])
+
+
 def test_a_write_belongs_to_the_last_run_before_it(spark):
     files = [("a", "i", "p", "x", False, t, None, None) for t in (100, 199, 200, 299, 300, 399, 400)]
-    got = ledger.accepted_writes(spark.createDataFrame(files, FILE).drop("token"), spark.createDataFrame(RUNS, RUN)).collect()
+    got = ledger.accepted(spark.createDataFrame(files, FILE), terms(spark, RUNS), ["index_id"], "last_indexed_at").collect()
     assert sorted((r["last_indexed_at"], r["token"]) for r in got) == [(100, 1), (199, 1), (300, 3), (399, 3)]
 
 
-def test_spans_go_on_over_days(spark):
+def test_stale_tokens_are_rejected(spark):
+    """Where writes say their token it has to be that of the term."""
+    ddl = "index_id string, at long, token long"
+    writes = spark.createDataFrame([("i", 150, 1), ("i", 310, 1), ("i", 310, 3), ("i", 250, 2), ("i", 410, 4), (None, 310, 3), ("i", None, 3), ("i", 310, None)], ddl)
+    got = ledger.accepted(writes, terms(spark, RUNS), ["index_id"], "at", "token").collect()
+    assert sorted((r["at"], r["token"]) for r in got) == [(150, 1), (310, 3)]
+    timed = spark.createDataFrame([("i", 1, 10, 20, True), ("i", 2, 30, None, True)], "index_id string, token long, since long, until long, committed boolean")
+    late = ledger.accepted(writes.select("index_id", F.lit(25).alias("at")), ledger.lease_terms(timed, ["index_id"]), ["index_id"], "at")
+    assert late.count() == 0  # the lease of 10 ran out at 20
+
+
+def test_terms_go_on_over_days(spark):
     day = ledger.DAY_MS
     starts = [5, day - 1, day, 4 * day + 7, 4 * day + 9]
     runs = [(n, "i", t, None, "ok", None) for n, t in enumerate(starts)] + [(9, "j", 3 * day, None, "ok", None)]
-    got = sorted((r["index_id"], r["started_at"], r["until"]) for r in ledger.run_terms(spark.createDataFrame(runs, RUN)).collect())
+    got = sorted((r["index_id"], r["since"], r["fenced"]) for r in terms(spark, runs).collect())
     assert got == [*(("i", a, b) for a, b in zip(starts, [*starts[1:], None])), ("j", 3 * day, None)]
 
 
@@ -104,6 +121,49 @@ def test_a_retried_batch_keeps_its_items(spark, book, tmp_path):
     assert states(book, 41) == {"a": "done", "b": "pending"}
 
 
+def test_completions_of_one_token_add_up(spark, book, tmp_path):
+    items = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "item string, version string")
+    book.enqueue(items, 1, now=0)
+    token = book.lease("x", 3, now=10, ttl=100)
+    only = lambda i: items.where(F.col("item") == i)
+    book.complete(token, now=20, items=only("a"))
+    book.complete(token, now=30, items=only("b"))
+    assert states(book, 40) == {"a": "done", "b": "done", "c": "leased"}
+    book.complete(token, now=200, items=only("a"))  # a late retry changes nothing
+    book.complete(token, now=200, items=only("c"))  # too late
+    assert states(book, 201) == {"a": "done", "b": "done", "c": "pending"}
+    assert sum(1 for d in (tmp_path / "ledger").iterdir() if d.name.startswith("done-")) == 3
+
+
+def test_two_owners_never_have_the_same_token(spark, book, tmp_path):
+    items = spark.createDataFrame([("a", "1")], "item string, version string")
+    book.enqueue(items, 1, now=0)
+    (tmp_path / "ledger" / "token-1").touch()  # taken by another at the same moment
+    token = book.lease("x", 1, now=10, ttl=100)
+    assert token == 2
+    other = ledger.Ledger(spark, book.root)
+    assert other.lease("y", 1, now=11, ttl=100) == 3 and other.leased(3).count() == 0
+
+
+def test_compaction_keeps_the_state(spark, book, tmp_path):
+    items = spark.createDataFrame([(c, "1") for c in "abcd"], "item string, version string")
+    book.enqueue(items, 1, now=0)
+    first = book.lease("x", 2, now=10, ttl=10)
+    book.complete(first, now=15, items=items.where(F.col("item") == "a"))
+    second = book.lease("y", 2, now=30, ttl=100)
+    before = sorted(map(tuple, book.state(50).collect()))
+    assert {r[2] for r in before} == {"done", "leased", "pending"}
+    assert book.compact() == 4 and sorted(map(tuple, book.state(50).collect())) == before
+    assert book.events().count() < 12 and book.vacuum() == 4 and sorted(map(tuple, book.state(50).collect())) == before
+    book.complete(first, now=60)  # the token has been replaced
+    book.complete(second, now=60)
+    assert states(book, 61) == {"a": "done", "b": "done", "c": "done", "d": "pending"}
+    book.enqueue(items, 2, now=70)
+    assert book.compact() == 3 and states(book, 71) == {"a": "done", "b": "done", "c": "done", "d": "pending"}
+    (tmp_path / "ledger" / "covers-compact-000000002").unlink()  # one that is not whole is passed over
+    assert book._batches()[0] == "compact-000000001"
+
+
 def test_lease_decision(spark):
     df = spark.createDataFrame([(None, None), ("me", 50), ("you", 50), ("you", 5)], "held string, until long")
     free = ledger.lease_decision(F.col("held"), F.col("until"), F.lit("me"), F.lit(10))
