@@ -26,20 +26,28 @@ def query_tokens(query: Text, min_length: int = 1, stopwords: list[str] | None =
     return F.filter(F.split(_col(query), "[^A-Za-z0-9_]+"), keep)
 
 
+# Where an identifier is cut, besides its underscores.
+ACRONYM_END, CASE_CHANGE = "([A-Z]+)([A-Z][a-z])", "([a-z0-9])([A-Z])"
+#: An identifier in one piece is passed over; one that has a place where it is cut is the group.
+_COMPOUND = r"_*+(?:[A-Z]?+[a-z0-9]++|[A-Z]++(?:[0-9][a-z0-9]*+)?+)_*+(?![A-Za-z0-9_])|([A-Za-z_][A-Za-z0-9_]*+)"
+
+
 def identifier_parts(identifier: Text) -> Column:
-    """An identifier cut at underscores and changes of case."""
-    acronym = F.regexp_replace(_col(identifier), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    words = F.regexp_replace(acronym, "([a-z0-9])([A-Z])", "$1 $2")
+    """An identifier cut at underscores and changes of case; of a text with blanks, all its identifiers' parts."""
+    words = F.regexp_replace(F.regexp_replace(_col(identifier), ACRONYM_END, "$1 $2"), CASE_CHANGE, "$1 $2")
     return F.filter(F.split(words, "[^A-Za-z0-9]+"), lambda p: p != "")
 
 
 def split_identifiers(text: Text, min_length: int = 3, most: int = 128) -> Column:
     """The lower-case parts of all compound identifiers of a text: at least ``min_length`` long, no bare numbers, each
-    once in the order of first sight, at most ``most``."""
-    names = F.regexp_extract_all(_col(text), F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1)
-    parts = F.filter(F.transform(names, identifier_parts), lambda p: F.size(p) > 1)
-    flat = F.transform(F.flatten(parts), lambda p: F.lower(p))
-    return F.slice(F.array_distinct(F.filter(flat, lambda p: (F.length(p) >= min_length) & ~p.rlike("^[0-9]+$"))), 1, most)
+    once in the order of first sight, at most ``most``.
+
+    The compound ones are cut together, as one text, so the patterns run once over each text.
+    """
+    compound = F.array_join(F.array_distinct(F.regexp_extract_all(_col(text), F.lit(_COMPOUND), 1)), " ")
+    parts = F.array_distinct(identifier_parts(F.concat(compound, F.lit(" "))))
+    kept = F.filter(F.transform(parts, lambda p: F.lower(p)), lambda p: (F.length(p) >= min_length) & ~p.rlike("^[0-9]+$"))
+    return F.slice(F.array_distinct(kept), 1, most)
 
 
 def with_subtokens(content: Text) -> Column:

@@ -188,13 +188,14 @@ def extract_relations(files: DataFrame) -> DataFrame:
 CONFIDENCE = {"imports": 0.9, "calls": 0.7, "references": 0.6}
 
 
-def file_edges(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """All edges of a set of files: resolved imports and uses, tests, and each file's own symbols."""
+def file_edges(files: DataFrame, symbols: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """All edges of a set of files: resolved imports and uses, tests, and each file's own symbols. ``known``: the
+    ``index_id, path`` that they may lead to, if more than these files."""
     from codeseam.operators import graph
 
-    known = files.select("index_id", "path")
+    own, known = files.select("index_id", "path"), files.select("index_id", "path") if known is None else known
     uses = graph.resolve_imports(extract_relations(files).select("index_id", "path", "spec", "kind"), known)
     weight = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
     edges = uses.select("index_id", F.col("path").alias("from_path"), "to_path", F.col("kind").alias("type"), weight[F.col("kind")].alias("confidence")).distinct()
-    edges = edges.unionByName(graph.test_edges(known))
+    edges = edges.unionByName(graph.test_edges(own, known))
     return edges.unionByName(graph.symbol_edges(symbols)) if symbols is not None else edges

@@ -33,9 +33,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return tried.join(known, ["index_id", "candidate"]).groupBy(*keys).agg(F.min_by("candidate", "at").alias("to_path"))
 
 
-def test_edges(files: DataFrame) -> DataFrame:
-    """From each test file to the files it tests by name, as far as they exist."""
-    known = files.select("index_id", F.col("path").alias("to_path")).distinct()
+def test_edges(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """From each test file to the files it tests by name, as far as they exist among ``known`` (or these files)."""
+    known = (files if known is None else known).select("index_id", F.col("path").alias("to_path")).distinct()
     tests = files.where(P.is_test("path")).select("index_id", F.col("path").alias("from_path")).distinct()
     wanted = tests.select("*", F.explode(P.test_targets("from_path")).alias("to_path"))
     return wanted.join(known, ["index_id", "to_path"], "left_semi").select("index_id", "from_path", "to_path", F.lit("tests").alias("type"), F.lit(0.8).alias("confidence"))
