@@ -9,10 +9,12 @@ from pyspark.sql.window import Window as W
 from codeseam.functions import paths as P
 from codeseam.functions import scoring as S
 from codeseam.functions import text as X
-from codeseam.session import checkpointed
+from codeseam.operators import graph
+from codeseam.session import broadcast_if_small, checkpointed
 
 TASK_TYPES = ["locate", "callers", "tests", "history"]
 ARMS = ["full", "lexical", "fts-only", "rg"]
+# The metrics, and what is added to the seed of each one's interval.
 METRICS = {"success_rate": 11, "recall": 23, "rr": 37, "precision": 41}
 # What a run has to reach.
 THRESHOLDS = {"recall": 0.6, "rr": 0.5, "success_rate": 0.7, "graph_precision": 0.5}
@@ -24,6 +26,11 @@ def task_id(kind: Column | str, query: Column, paths: Column) -> Column:
     return F.concat(kind if isinstance(kind, Column) else F.lit(kind), F.lit("-"), F.substring(digest, 1, 12))
 
 
+def _hashed(seed: int, key: str) -> Column:
+    """A fixed order that looks like none, for any number of rows."""
+    return F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)
+
+
 def locate_tasks(symbols: DataFrame) -> DataFrame:
     """``id, type, query, symbol, expected_paths`` for each exported symbol outside generated code that can be looked
     for without its name; one for each query and path."""
@@ -34,6 +41,13 @@ def locate_tasks(symbols: DataFrame) -> DataFrame:
     return one.select(task_id("locate", F.col("query"), paths).alias("id"), F.lit("locate").alias("type"), "query", "symbol", paths.alias("expected_paths"))
 
 
+def expected_callers(edges: DataFrame) -> DataFrame:
+    """``to_path, n, first, last``: by how many files each path is imported, called or referred to, and the first and last of
+    them in order; no list is gathered."""
+    rows = edges.where(F.col("type").isin("imports", "calls", "references") & (F.col("from_path") != F.col("to_path")))
+    return rows.groupBy("to_path").agg(F.countDistinct("from_path").alias("n"), F.min("from_path").alias("first"), F.max("from_path").alias("last"))
+
+
 def relationship_tasks(edges: DataFrame, kind: str, most: int = 20) -> DataFrame:
     """``id, type, query, target_path, expected_paths`` for each path that others call (``callers``) or test
     (``tests``). The first ``most`` expected paths are listed; the id is of all of them, by their number and the sum of
@@ -51,10 +65,14 @@ def relationship_tasks(edges: DataFrame, kind: str, most: int = 20) -> DataFrame
     return all_.join(listed, "to_path").select(task_id(kind, query, of_all).alias("id"), F.lit(kind).alias("type"), query.alias("query"), F.col("to_path").alias("target_path"), "expected_paths")
 
 
+# Fixed value: subjects of commits that say nothing.
+_EMPTY_SUBJECT = r"(?i)^(merge|release|chore\b|bump\b|v?\d+\.\d+\.\d+)"
+
+
 def usable_subject(subject: Column | str) -> Column:
     """A commit's subject that says something."""
     s = X._col(subject)
-    return F.length(s).between(10, 160) & ~s.rlike(r"(?i)^(merge|release|chore\b|bump\b|v?\d+\.\d+\.\d+)")
+    return F.length(s).between(10, 160) & ~s.rlike(_EMPTY_SUBJECT)
 
 
 def history_tasks(commits: DataFrame, known: DataFrame, most: int = 12) -> DataFrame:
@@ -67,27 +85,141 @@ def history_tasks(commits: DataFrame, known: DataFrame, most: int = 12) -> DataF
     return one.where(~named).select(task_id("history", F.col("subject"), F.col("expected_paths")).alias("id"), F.lit("history").alias("type"), F.col("subject").alias("query"), "expected_paths")
 
 
+def assembled(tasks: DataFrame, limit: int, seed: int = 42, order: list[str] | None = None) -> DataFrame:
+    """The tasks of an evaluation (``id, type`` and others): the types in turns, each in a fixed order by hash of the seed and
+    the id, each id once; the first ``limit`` with their number ``n`` from 0."""
+    once = tasks.dropDuplicates(["id"]).withColumn("pos", F.struct(_hashed(seed, "id"), "id"))
+    return interleave(once, limit, order).drop("pos")
+
+
 def interleave(tasks: DataFrame, limit: int, order: list[str] | None = None) -> DataFrame:
     """Tasks in turns of the types, ``type, pos`` giving each task's place in its type; the first ``limit`` with their
     number ``n`` from 0."""
     kinds = order or TASK_TYPES
     place = F.array_position(F.array(*map(F.lit, kinds)), F.col("type"))
-    w = W.orderBy("turn", "place")
-    rows = tasks.withColumn("turn", F.row_number().over(W.partitionBy("type").orderBy("pos")) - 1).withColumn("place", place)
-    first = rows.where(F.col("turn") < limit)  # at most limit of each type, so the last order is over few rows
+    nth = F.row_number().over(W.partitionBy("type").orderBy("pos"))  # limited before it is shuffled
+    first = tasks.withColumn("turn", nth).where(F.col("turn") <= limit).withColumn("place", place)
+    w = W.orderBy("turn", "place")  # over at most limit rows of each type
     return first.withColumn("n", F.row_number().over(w) - 1).where(F.col("n") < limit).drop("turn", "place")
 
 
+def numbered(rows: DataFrame, key: str, order: str, into: str) -> DataFrame:
+    """``rows`` with their number from 0 within ``key`` in the order of ``order``, however many a key has: rows are laid out
+    in ranges, counted by range, and numbered within each."""
+    laid = checkpointed(rows.repartitionByRange(key, order).withColumn("_range", F.spark_partition_id()))
+    before = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range of a key
+    offset = laid.groupBy(key, "_range").count().select(F.col(key).alias("_key"), F.col("_range").alias("_of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(W.partitionBy(key, "_range").orderBy(order)) - 1
+    both = laid.withColumn(into, within).join(broadcast_if_small(offset), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_of")))
+    return both.withColumn(into, F.col(into) + F.col("_offset")).drop("_range", "_key", "_of", "_offset")
+
+
 def arm_rotation(tasks: DataFrame, repeats: int, arms: list[str] | None = None) -> DataFrame:
     """The order in which each task's arms run in each repeat: ``id, type, repeat, ord, arm``; the n-th task of a type
     begins with arm ``(n + repeat) mod 4``, so each arm comes at each place equally often."""
     names = arms or ARMS
-    rows = tasks.withColumn("nth", F.row_number().over(W.partitionBy("type").orderBy("pos")) - 1)
+    rows = numbered(tasks, "type", "pos", "nth")
     grid = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("ord"))
     arm = F.get(F.array(*map(F.lit, names)), F.pmod(F.col("nth") + F.col("repeat") + F.col("ord"), F.lit(len(names))).cast("int"))
     return grid.select("id", "type", "repeat", "ord", arm.alias("arm"))
 
 
+def unique_files(ranked: DataFrame, k: int, keys: list[str], order: list[Column]) -> DataFrame:
+    """``keys, found_paths``: of ranked results (``path``, in the given order) the first ``k`` different files."""
+    first = ranked.groupBy(*keys, "path").agg(F.min(F.struct(*order)).alias("_first"))
+    w = W.partitionBy(*keys).orderBy("_first", "path")  # limited before it is shuffled
+    kept = first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    listed = F.array_sort(F.collect_list(F.struct("_n", "path")))  # of k
+    return kept.groupBy(*keys).agg(F.transform(listed, lambda x: x["path"]).alias("found_paths"))
+
+
+#: So many pages of results are read for ``k`` different files.
+PAGES = 4
+
+
+def retrieval_arms(
+    chunks: DataFrame, symbols: DataFrame, edges: DataFrame | None, files: DataFrame, queries: DataFrame, k: int = 10,
+    arms: list[str] | None = None, scope: str = "index", stem: bool = True, locale_order: bool = True,
+) -> DataFrame:
+    """``query_id, arm, found_paths, tool_calls`` for each query that has any: the first ``k`` different files of each arm.
+
+    The arms of the index rank the same candidates with other weights, so these are found once; ``PAGES`` pages of ``k``
+    results are read at most. ``rg`` is the search for any of the words in the files themselves.
+    """
+    from codeseam.operators import search
+
+    arms = arms or ARMS
+    weights = {"full": S.WEIGHTS, "lexical": S.LEXICAL, "fts-only": S.FTS_ONLY}
+    scored = checkpointed(search.signals(search.candidates(chunks, queries, k, stem=stem, scope=scope), queries, symbols, edges))
+    out = None
+    for arm in arms:
+        if arm in weights:
+            rows = search.ranked(scored, weights[arm], locale_order).where(F.col("rank") < PAGES * k)
+            found = unique_files(rows, k, ["query_id"], [F.col("rank")])
+            pages = rows.groupBy("query_id").agg(F.ceil(F.count("*") / k).cast("int").alias("tool_calls"))
+            found = found.join(pages, "query_id")
+        else:
+            rows = search.grep_baseline(files, queries, k, locale_order)
+            found = unique_files(rows, k, ["query_id"], [F.col("rank")]).withColumn("tool_calls", F.lit(1))
+        found = found.select("query_id", F.lit(arm).alias("arm"), "found_paths", "tool_calls")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def graph_arm(edges: DataFrame, tasks: DataFrame, k: int = 10) -> DataFrame:
+    """``task_id, arm, found_paths, tool_calls``: what the graph says of each task of ``callers`` or ``tests`` (``id, type,
+    index_id, target_path``) one step away, the first ``k`` different files by hops, confidence, type and path. A task
+    without a target or of another type finds nothing."""
+    asked = tasks.where(F.col("type").isin("callers", "tests") & F.col("target_path").isNotNull()).select(F.col("id").alias("task_id"), "type", "index_id", F.col("target_path").alias("start"))
+    asked = checkpointed(asked)
+    near = graph.impact(edges, asked.select("index_id", "start"), 1)
+    relation = F.when(F.col("type") == "tests", "affected_test").otherwise("caller")
+    rows = asked.join(near, ["index_id", "start"]).where(F.col("relation") == relation)
+    found = unique_files(rows, k, ["task_id"], [F.col("hops"), -F.col("confidence"), F.col("edge_type")])
+    none = F.array().cast("array<string>")
+    return tasks.select(F.col("id").alias("task_id")).distinct().join(found, "task_id", "left").select("task_id", F.lit("graph").alias("arm"), F.coalesce("found_paths", none).alias("found_paths"), F.lit(1).alias("tool_calls"))
+
+
+def quality(results: DataFrame, k: int = 5) -> DataFrame:
+    """``category, queries, recall, mrr, top1`` for each category and for all (``category`` null): ``results`` has ``category,
+    rank``, the place from 1 of the expected path, null where it was not found."""
+    rank = F.col("rank")
+    sets = results.groupingSets([[F.col("category")], []], "category").agg(
+        F.count("*").alias("queries"),
+        F.avg(F.when(rank <= k, 1.0).otherwise(0.0)).alias("recall"),
+        F.avg(F.coalesce(1.0 / rank, F.lit(0.0))).alias("mrr"),
+        F.avg(F.when(rank == 1, 1.0).otherwise(0.0)).alias("top1"),
+    )
+    return sets.select("category", "queries", "recall", "mrr", "top1")
+
+
+def freshness_candidate(path: Column | str = "path", language: Column | str = "language", size: Column | str = "size") -> Column:
+    """True for a file that a freshness probe may write to: text of a known language, small, no lock file and no test."""
+    base = F.lower(P.basename(path))
+    known = F.coalesce(X._col(language) != "", F.lit(False)) & (X._col(size) <= 512 * 1024)
+    test = X._col(path).rlike(r"(?i)(^|/)(test|tests|__tests__)(/|$)") | base.rlike(r"\.(test|spec)\.")
+    return F.coalesce(known & ~F.contains(base, F.lit("lock")) & ~test, F.lit(False))
+
+
+def freshness_probe(engine, files: DataFrame, seed: int = 42) -> dict[str, object]:
+    """Whether an edit and a deletion become visible to a search: a word of its own is added to one file of ``files`` and the
+    index refreshed, then the file is left out and the index refreshed again. ``files``: ``index_id, path, language,
+    content`` of the engine's index, which is left without that file."""
+    free = files.where(freshness_candidate("path", F.coalesce("language", P.language("path")), F.octet_length("content")))
+    chosen = free.orderBy(_hashed(seed, "path"), "path").limit(1).head()
+    if chosen is None:
+        return {"attempted": False, "passed": False, "reason": "no file can be written to"}
+    word = "probe" + "".join(chr(97 + int(c, 16)) for c in f"{abs(hash((seed, chosen['path']))) % 16**8:08x}")
+    own = F.col("path") == chosen["path"]
+    seen = lambda: engine.search(word, snippet="none").where(own).limit(1).count() > 0
+    engine.ensure(files)
+    engine.refresh(files.withColumn("content", F.when(own, F.concat("content", F.lit(f"\n{word}\n"))).otherwise(F.col("content"))))
+    edited = seen()
+    engine.refresh(files.where(~own))
+    removed = not seen()
+    return {"attempted": True, "passed": edited and removed, "path": chosen["path"], "modified_visible": edited, "deleted_removed": removed}
+
+
 def measure(runs: DataFrame, tasks: DataFrame, k: int) -> DataFrame:
     """``runs`` (``task_id, arm, found_paths``, others kept) with ``recall, rr, precision, success``: of the first ``k``
     different paths found; precision is over k, and over what was found in the arm ``graph``."""
@@ -138,9 +270,12 @@ def aggregate(measured: DataFrame, by: list[str], seed: int = 42) -> DataFrame:
 
 
 def missed_thresholds(aggregates: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """``aggregates`` with the names of the metrics below their threshold."""
-    limits = {k: v for k, v in (thresholds or THRESHOLDS).items() if k in METRICS}
-    return aggregates.withColumn("missed", F.array_compact(F.array(*[F.when(F.col(m) < v, m) for m, v in limits.items()])))
+    """``aggregates`` with the names of what is below its threshold as ``missed``: of the arm ``graph`` (a column ``arm``)
+    recall, success rate and its own limit of precision, of any other recall, rr and success rate."""
+    limits = thresholds or THRESHOLDS
+    graph_arm_ = F.coalesce(F.col("arm") == "graph", F.lit(False)) if "arm" in aggregates.columns else F.lit(False)
+    rules = {"recall": F.col("recall"), "rr": F.when(~graph_arm_, F.col("rr")), "success_rate": F.col("success_rate"), "graph_precision": F.when(graph_arm_, F.col("precision"))}
+    return aggregates.withColumn("missed", F.array_compact(F.array(*[F.when(c < limits[m], m) for m, c in rules.items() if m in limits])))
 
 
 def nested_scales(paths: DataFrame, required: DataFrame, scales: list[int], seed: int) -> DataFrame:
@@ -149,7 +284,7 @@ def nested_scales(paths: DataFrame, required: DataFrame, scales: list[int], seed
     need = required.select("path").distinct().withColumn("need", F.lit(0))
     rows = paths.select("path").distinct().join(need, "path", "left").withColumn("need", F.coalesce("need", F.lit(1)))
     top = max(scales)
-    order = [F.col("need"), F.xxhash64(F.lit(seed), F.col("path")), F.col("path")]
+    order = [F.col("need"), _hashed(seed, "path"), F.col("path")]
     first = rows.orderBy(*order).limit(top)  # the largest scale is what is asked for
     placed = first.withColumn("pos", F.row_number().over(W.orderBy(*order)) - 1)
     scale = F.coalesce(*[F.when(F.col("pos") < s, s) for s in sorted(scales)])

@@ -35,7 +35,16 @@ _JAVA = re.compile(
     re.M,
 )
 _C = re.compile(r"^(?P<static>static\s+)?(?:(?:const|unsigned|signed|struct|enum|inline|extern)\s+)*\w[\w ]*[\s*]+(?P<function>\w+)\s*\([^;{}]*\)\s*\{|^(?:typedef\s+)?struct\s+(?P<class>\w+)\s*\{", re.M)
-_PATTERNS = {"typescript": _SCRIPT, "javascript": _SCRIPT, "go": _GO, "java": _JAVA, "c": _C, "cpp": _C}
+_RUST = re.compile(
+    r"^(?P<indent>[ \t]*)(?P<export>pub(?:\([^)\n]*\))?[ \t]+)?(?:(?:default|async|unsafe|const|extern)[ \t]+)*(?:fn[ \t]+(?P<function>\w+)|(?:struct|enum|union)[ \t]+(?P<class>\w+)|(?:unsafe[ \t]+)?trait[ \t]+(?P<interface>\w+)"
+    r"|type[ \t]+(?P<type>\w+)|static[ \t]+(?:mut[ \t]+)?(?P<constant>\w+))|^[ \t]*(?P<export2>pub(?:\([^)\n]*\))?[ \t]+)?const[ \t]+(?P<constant2>\w+)[ \t]*:",
+    re.M,
+)
+_PHP = re.compile(
+    r"^(?P<indent>[ \t]*)(?P<mods>(?:(?:public|private|protected|static|final|abstract|readonly)[ \t]+)*)(?:function[ \t]+&?(?P<function>\w+)|(?:class|enum)[ \t]+(?P<class>\w+)|(?:interface|trait)[ \t]+(?P<interface>\w+)|const[ \t]+(?:\w+[ \t]+)?(?P<constant>\w+)[ \t]*=)",
+    re.M,
+)
+_PATTERNS = {"rust": _RUST, "php": _PHP, "typescript": _SCRIPT, "javascript": _SCRIPT, "go": _GO, "java": _JAVA, "c": _C, "cpp": _C}
 _NOT_NAMES = frozenset("if for while switch catch return function else do try new await typeof constructor".split()) - {"constructor"}
 
 _IMPORT = re.compile(
@@ -44,15 +53,26 @@ _IMPORT = re.compile(
 _DYNAMIC = re.compile(r"(?:(?:const|let|var)\s+(?P<what>[\w$]+|\{[^}]*\})\s*=\s*(?:await\s+)?)?\b(?:require|import)\(\s*[\"'](?P<spec>[^\"'\n]+)[\"']\s*\)")
 
 
-def blanked(text: str) -> str:
+#: A single quote also begins a lifetime in Rust, and a hash a comment in PHP.
+_HIDDEN_IN = {
+    "rust": re.compile(r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[^\n']+)'"),
+    "php": re.compile(r"(?://|\#(?!\[))[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\]|\\[\s\S])*'"),
+}
+
+
+def blanked(text: str, language: str | None = None) -> str:
     """Strings and comments replaced by blanks, offsets and lines kept."""
-    return _HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    return _HIDDEN_IN.get(language or "", _HIDDEN).sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+
+
+_GOES_ON = re.compile(r"\s*(?:[{)\]=.,|&?:+]|=>)")
+_STOP = re.compile(r"[{};\n]")
 
 
 def _end(text: str, at: int) -> int:
     """The offset of the brace that closes the first one from ``at``, or of the line's end if a statement ends first."""
     depth = 0
-    for m in re.compile(r"[{};\n]").finditer(text, at):
+    for m in _STOP.finditer(text, at):
         c = m.group()
         if c == "{":
             depth += 1
@@ -62,7 +82,7 @@ def _end(text: str, at: int) -> int:
                 return m.start()
         elif c == ";" and not depth:
             return m.start()
-        elif c == "\n" and not depth and not re.match(r"\s*[{)\]=.,|&?:+]|\s*=>", text[m.end() : m.end() + 80]):
+        elif c == "\n" and not depth and not _GOES_ON.match(text, m.end()):
             return m.start()
     return len(text) - 1
 
@@ -102,26 +122,66 @@ def _by_indentation(text: str) -> list[Symbol]:
     return out
 
 
+_RUBY = re.compile(r"([ \t]*)(?:(?:private|public|protected)[ \t]+)?(def|class|module)[ \t]+(?:self\.)?([\w:]+[?!=]?)")
+
+
+def _ruby(text: str) -> list[Symbol]:
+    """The declarations of a Ruby text, each up to the ``end`` at its own indentation, or to its own line if it has none."""
+    lines, out, open_ = text.split("\n"), [], []
+    hidden = False  # below ``private``
+    for i, line in enumerate(lines):
+        bare = line.strip()
+        indent = len(line) - len(line.lstrip())
+        if bare in ("private", "protected"):
+            hidden = True
+        elif bare == "public":
+            hidden = False
+        m = _RUBY.match(line)
+        if m:
+            kind = {"class": "class", "module": "class"}.get(m[2]) or ("method" if m[1] else "function")
+            hidden = hidden and kind != "class"
+            short = bare.endswith((" end", ";end")) or m[2] == "def" and re.search(r"\)\s*=\s|\w\s+=\s", bare) is not None
+            symbol = [m[3], kind, bare, i + 1, i + 1, kind == "class" or not hidden and "private def" not in bare]
+            out.append(symbol)
+            if not short:
+                open_.append((indent, symbol))
+        elif open_ and re.match(r"end\b", bare):
+            for at in range(len(open_) - 1, -1, -1):
+                if open_[at][0] == indent:
+                    open_[at][1][4] = i + 1
+                    del open_[at:]
+                    break
+    return [tuple(x) for x in out]
+
+
 def symbols_of(text: str, language: str | None) -> list[Symbol]:
     """The declarations of a text; none for a language without a reader."""
     if language == "python":
         return _python(text)
+    if language == "ruby":
+        return _ruby(text)
     pattern = _PATTERNS.get(language or "")
     if pattern is None:
         return []
-    plain = blanked(text)
+    plain = blanked(text, language)
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     lines, out = text.split("\n"), []
     for m in pattern.finditer(plain):
-        kind = next((k for k in ("function", "class", "interface", "type", "constant", "method") if k in pattern.groupindex and m[k]), None)
-        if kind is None or m[kind] in _NOT_NAMES:
+        group = next((k for k in ("function", "class", "interface", "type", "constant", "constant2", "method") if k in pattern.groupindex and m[k]), None)
+        if group is None or m[group] in _NOT_NAMES and language not in ("rust", "php"):
             continue
-        name, groups, group = m[kind], m.groupdict(), kind
+        name, groups, kind = m[group], m.groupdict(), group.rstrip("2")
         if language == "go":
             exported = name[:1].isupper()
             kind = "method" if groups.get("receiver") else {"struct": "class", "interface": "interface"}.get(groups.get("of") or "", kind)
         elif language == "java":
             exported = "public" in (groups.get("mods") or "")
+        elif language == "rust":
+            exported = bool(groups.get("export") or groups.get("export2"))
+            kind = "method" if kind == "function" and groups["indent"] else kind
+        elif language == "php":
+            exported = not re.search(r"private|protected", groups["mods"] or "")
+            kind = "method" if kind == "function" and groups["indent"] else kind
         elif language in ("c", "cpp"):
             exported = not groups.get("static")
         else:
@@ -138,7 +198,7 @@ def symbols_of(text: str, language: str | None) -> list[Symbol]:
 
 def relations_of(text: str, language: str | None) -> list[tuple[str, str, str | None, str | None]]:
     """``kind, spec, name, use`` of each import and of each use of an imported name: ``imports``, ``calls`` and
-    ``references``, a name once each."""
+    ``references``, a name once each; a name can be both."""
     if language == "python":
         found = re.findall(r"^\s*from\s+(\.+[\w.]*)\s+import\s+([^\n(]+|\([^)]*\))", text, re.M)
         imports = [(("./" if dots == 1 else "../" * (dots - 1)) + spec.lstrip(".").replace(".", "/"), re.findall(r"\w+(?=\s*(?:,|$|\)|#))", names)) for spec, names in found for dots in [len(spec) - len(spec.lstrip("."))]]
@@ -154,7 +214,7 @@ def relations_of(text: str, language: str | None) -> list[tuple[str, str, str |
         for name in dict.fromkeys(n for n in names if re.fullmatch(r"[\w$]+", n)):
             if re.search(rf"(?<![\w$.]){re.escape(name)}\s*\(", plain):
                 out.append(("calls", spec, name, name))
-            elif re.search(rf"(?<![\w$.]){re.escape(name)}\s*\.\s*[\w$]+", plain):
+            if re.search(rf"(?<![\w$.]){re.escape(name)}\s*\.\s*[\w$]+", plain):
                 out.append(("references", spec, name, name))
     return list(dict.fromkeys(out))
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from codeseam.functions import paths as P
 from codeseam.functions.scoring import confidence_label
-from codeseam.session import broadcast_if_small
+from codeseam.session import broadcast_if_small, checkpointed, is_small
 
 # The kinds of edges.
 EDGE_TYPES = "imports imported_by defines exports references calls tests belongs_to".split()
@@ -41,13 +41,19 @@ def test_edges(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return wanted.join(known, ["index_id", "to_path"], "left_semi").select("index_id", "from_path", "to_path", F.lit("tests").alias("type"), F.lit(0.8).alias("confidence"))
 
 
-def _steps(edges: DataFrame, types: list[str] | None, direction: str) -> DataFrame:
-    """``index_id, node, next, type, confidence`` in the direction of walking, without self-edges and repeats."""
+def _steps(edges: DataFrame, types: list[str] | None, direction: str, frontier: DataFrame | None = None) -> DataFrame:
+    """``index_id, node, next, type, confidence`` in the direction of walking, without self-edges and repeats.
+
+    ``frontier``: ``index_id, node`` from which steps are wanted. If it is measured to be small only steps from there are
+    read off the edges, before anything is shuffled; else the join that follows takes it into account.
+    """
     e = edges.where(F.col("from_path") != F.col("to_path"))
     if types is not None:
         e = e.where(F.col("type").isin(*types))
     out = e.select("index_id", F.col("from_path").alias("node"), F.col("to_path").alias("next"), "type", "confidence")
     back = e.select("index_id", F.col("to_path").alias("node"), F.col("from_path").alias("next"), "type", "confidence")
+    if frontier is not None and is_small(frontier):
+        out, back = (x.join(F.broadcast(frontier), ["index_id", "node"], "left_semi") for x in (out, back))
     steps = out if direction == "out" else back if direction == "in" else out.unionByName(back)
     return steps.groupBy("index_id", "node", "next", "type").agg(F.max("confidence").alias("confidence"))
 
@@ -58,30 +64,40 @@ def neighbors(edges: DataFrame, starts: DataFrame, types: list[str] | None = Non
     A neighbour is reached by a simple path of at most ``depth`` steps (1 to 3); for each neighbour and type of the last
     step the fewest steps and the greatest confidence of a last step are given. Paths are not listed: for the third
     step it is enough to know two different first stops on the way to its second, as then one of them is not the
-    node that is reached. So rows grow with the nodes reached and not with the paths.
+    node that is reached. So rows grow with the nodes reached and not with the paths. Edges are pruned by the nodes that a
+    step sets out from, and the partial results cut the lineage, so no step is walked twice.
     """
     depth = min(max(1, depth), MAX_DEPTH)
-    steps = _steps(edges, types, direction)
-    begin = starts.select("index_id", "start").distinct()
-    one = begin.join(steps.withColumnRenamed("node", "start"), ["index_id", "start"])
+    begin = checkpointed(starts.select("index_id", "start").distinct())
+    frontier = lambda rows, column: rows.select("index_id", F.col(column).alias("node")).distinct()
+    one = begin.join(_steps(edges, types, direction, frontier(begin, "start")).withColumnRenamed("node", "start"), ["index_id", "start"])
+    one = checkpointed(one) if depth > 1 else one
     rows = one.select("index_id", "start", F.col("next").alias("path"), "type", "confidence", F.lit(1).alias("hops"))
     if depth > 1:
         reached = one.select("index_id", "start", F.col("next").alias("node")).distinct()
-        two = reached.join(steps, ["index_id", "node"]).where(F.col("next") != F.col("start"))
+        two = reached.join(_steps(edges, types, direction, frontier(one, "next")), ["index_id", "node"]).where(F.col("next") != F.col("start"))
+        two = checkpointed(two) if depth > 2 else two
         rows = rows.unionByName(two.select("index_id", "start", F.col("next").alias("path"), "type", "confidence", F.lit(2).alias("hops")))
     if depth > 2:
         ways = two.groupBy("index_id", "start", F.col("next").alias("node")).agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        three = ways.join(steps, ["index_id", "node"]).where(
+        three = ways.join(_steps(edges, types, direction, frontier(two, "next")), ["index_id", "node"]).where(
             (F.col("next") != F.col("start")) & ~((F.col("low") == F.col("high")) & (F.col("low") == F.col("next")))
         )
         rows = rows.unionByName(three.select("index_id", "start", F.col("next").alias("path"), "type", "confidence", F.lit(3).alias("hops")))
     return rows.groupBy("index_id", "start", "path", F.col("type").alias("edge_type")).agg(F.min("hops").alias("hops"), F.max("confidence").alias("confidence"))
 
 
+def ordered(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Neighbours of each start (or of other ``keys``) with their place ``n`` from 1: fewest hops, then greatest confidence,
+    then edge type and path."""
+    w = W.partitionBy(*(keys or ["index_id", "start"])).orderBy("hops", F.col("confidence").desc(), "edge_type", "path")
+    return rows.withColumn("n", F.row_number().over(w))
+
+
 def tests_for(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """``targets``: ``index_id, start``. The test files of each, as ``index_id, start, path, edge_type, hops, confidence``."""
     e = edges.where(F.col("type") == "tests").select("index_id", F.col("to_path").alias("start"), F.col("from_path").alias("path"), "confidence")
-    found = e.join(targets.select("index_id", "start").distinct(), ["index_id", "start"])
+    found = e.join(broadcast_if_small(targets.select("index_id", "start").distinct()), ["index_id", "start"])
     return found.groupBy("index_id", "start", "path").agg(F.max("confidence").alias("confidence")).select(
         "index_id", "start", "path", F.lit("tests").alias("edge_type"), F.lit(1).alias("hops"), "confidence"
     )
@@ -97,8 +113,10 @@ def best_handles(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
 def impact(edges: DataFrame, targets: DataFrame, depth: int = 2, include_tests: bool = True) -> DataFrame:
     """What a change of each target touches: ``index_id, start, relation, path, edge_type, hops, confidence,
     provenance, confidence_label`` with the relations ``caller, callee, affected_file, affected_test``."""
-    callers = neighbors(edges, targets, ["calls", "references", "imports", "imported_by"], depth, "in")
+    targets = checkpointed(targets.select("index_id", "start").distinct())
+    callers = checkpointed(neighbors(edges, targets, ["calls", "references", "imports", "imported_by"], depth, "in"))
     callees = neighbors(edges, targets, ["calls", "references", "imports"], depth, "out")
+    # what else could be affected walks over a part of the callers' edges, so only its hops and confidence could differ
     affected = best_handles(callers.unionByName(neighbors(edges, targets, ["imported_by", "references", "calls"], depth, "in")))
     graph = F.lit("graph").alias("provenance")
     out = [

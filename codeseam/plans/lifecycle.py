@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeseam.functions import options as O
 from codeseam.functions import paths as P
 from codeseam.functions import scoring as S
 from codeseam.operators import evaluation as E
@@ -12,7 +13,7 @@ from codeseam.operators import ledger
 from codeseam.operators import maintenance as M
 from codeseam.operators import usage as U
 from codeseam.plans.retrieval import EDGES, edges
-from codeseam.plans.textual import SPLIT, first_seen
+from codeseam.plans.textual import _TEST, SPLIT, first_seen
 from codeseam.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -360,7 +361,49 @@ def discovery_proxy(spark: SparkSession, sf: str) -> DataFrame:
     return E.discovery_proxy(e).select("task_id", "calls_with", "calls_without", F.round("calls_ratio", 9).alias("calls_ratio"))
 
 
-@query()
+@query(
+    f"WITH p AS (SELECT DISTINCT path FROM corpus_files), need AS (SELECT path FROM p WHERE {_TEST} ORDER BY path LIMIT 10), "
+    "o AS (SELECT p.path, row_number() OVER (ORDER BY need.path IS NULL, sha256('42|' || p.path)) - 1 AS pos FROM p LEFT JOIN need ON need.path = p.path) "
+    "SELECT path, pos, CASE WHEN pos < 25 THEN 25 WHEN pos < 100 THEN 100 ELSE 400 END AS scale FROM o WHERE pos < 400"
+)
 def nested_scales(spark: SparkSession, sf: str) -> DataFrame:
-    f = table(spark, sf, "corpus_files")
-    return E.nested_scales(f, f.where(P.is_test("path")).orderBy("path").limit(10), [25, 100, 400], 42)
+    f = table(spark, sf, "corpus_files").select("path").distinct()
+    n = E.nested_scales(f, f.where(P.is_test("path")).orderBy("path").limit(10), [25, 100, 400], 42)
+    return n.select("path", F.col("pos").cast("bigint").alias("pos"), "scale")
+
+
+@query(
+    "WITH t AS (SELECT doc_id, doc_type AS type, row_number() OVER (PARTITION BY doc_type ORDER BY sha256('42|' || doc_id)) AS pos FROM documents WHERE doc_type IN ('commit', 'issue', 'query', 'review')) "
+    "SELECT doc_id, type, n FROM (SELECT *, row_number() OVER (ORDER BY pos, list_position(['query','commit','issue','review'], type)) - 1 AS n FROM t) WHERE n < 200"
+)
+def eval_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = ["query", "commit", "issue", "review"]
+    t = table(spark, sf, "documents").where(F.col("doc_type").isin(kinds)).select(F.col("doc_id").alias("id"), F.col("doc_type").alias("type"))
+    return E.assembled(t, 200, 42, kinds).select(F.col("id").alias("doc_id"), "type", F.col("n").cast("bigint").alias("n"))
+
+
+@query(
+    _RUNS + "SELECT coalesce(arm, 'all') AS category, count(*) AS queries, round(avg((first <= 5)::INT), 9) AS recall, round(avg(coalesce(1.0 / first, 0)), 9) AS mrr, round(avg((first = 1)::INT), 9) AS top1 "
+    "FROM (SELECT arm, coalesce(first, 99) AS first0, first FROM m) GROUP BY GROUPING SETS ((arm), ())".replace("avg((first <= 5)::INT)", "avg(CASE WHEN first <= 5 THEN 1 ELSE 0 END)").replace("avg((first = 1)::INT)", "avg(CASE WHEN first = 1 THEN 1 ELSE 0 END)")
+)
+def quality_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    runs, tasks = _runs(spark, sf)
+    m = E.measure(runs, tasks, 5)
+    q = E.quality(m.select(F.col("arm").alias("category"), F.when(F.col("rr") > 0, F.round(1 / F.col("rr"))).alias("rank")))
+    return q.select(F.coalesce("category", F.lit("all")).alias("category"), "queries", *[F.round(c, 9).alias(c) for c in ("recall", "mrr", "top1")])
+
+
+@query(
+    "SELECT DISTINCT index_id, path FROM corpus_files WHERE coalesce(language, '') <> '' AND octet_length(encode(content)) <= 524288 AND NOT contains(lower(regexp_extract(path, '([^/]*)$', 1)), 'lock') "
+    "AND NOT regexp_matches(path, '(^|/)(test|tests|__tests__)(/|$)', 'i') AND NOT regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), '\\.(test|spec)\\.')"
+)
+def freshness_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    f = table(spark, sf, "corpus_files").withColumn("size", F.octet_length("content"))
+    return f.where(E.freshness_candidate()).select("index_id", "path").distinct()
+
+
+@query(
+    "SELECT DISTINCT size, CASE WHEN size < 1024 THEN size || 'B' WHEN size < 1048576 THEN printf('%.1fKB', floor(size / 1024 * 10 + 0.5) / 10) ELSE printf('%.2fMB', floor(size / 1048576 * 100 + 0.5) / 100) END AS shown FROM files WHERE size >= 0"
+)
+def bytes_shown(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "files").where(F.col("size") >= 0).select("size", O.bytes_shown(F.col("size")).alias("shown")).distinct()

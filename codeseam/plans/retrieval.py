@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codeseam.functions import paths as P
 from codeseam.functions import scoring as S
 from codeseam.functions import text as X
-from codeseam.operators import bm25, chunking, extract, graph, search
+from codeseam.operators import bm25, chunking, evaluation, extract, graph, search
 from codeseam.plans.textual import SPLIT, first_seen
 from codeseam.session import table
 
@@ -206,18 +206,19 @@ def explore_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _RANGES = (
-    "SELECT chunk_id, arg_min(sig, struct_pack(a := span, b := id)) AS signature, arg_min(id, struct_pack(a := span, b := id)) AS symbol_id FROM (SELECT c.id AS chunk_id, s.id, s.end_line - s.start_line AS span, coalesce(s.signature, s.kind || ' ' || s.name) AS sig "
-    "FROM (SELECT DISTINCT id, file_id, start_line, end_line FROM chunks) c JOIN (SELECT DISTINCT id, file_id, name, kind, signature, start_line, end_line FROM symbols) s ON c.file_id = s.file_id AND s.start_line <= c.end_line AND s.end_line >= c.start_line) GROUP BY 1"
+    "WITH c AS (SELECT DISTINCT id, file_id, start_line, end_line FROM chunks), s AS (SELECT DISTINCT id, file_id, name, kind, signature, start_line, end_line FROM symbols) "
+    "SELECT c.id AS chunk_id, arg_min(coalesce(s.signature, s.kind || ' ' || s.name), struct_pack(a := NOT (contains(lower(s.name), 'er') OR contains(lower(s.name), 'map')), b := s.end_line - s.start_line, c := s.id)) AS signature "
+    "FROM c LEFT JOIN s ON c.file_id = s.file_id AND s.start_line <= c.end_line AND s.end_line >= c.start_line GROUP BY 1"
 )
 
 
 @query(_RANGES)
 def range_overlap_symbol(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), "file_id", "start_line", "end_line").distinct()
-    s = table(spark, sf, "symbols").dropDuplicates(["id"]).select("id", "file_id", F.coalesce("signature", F.concat_ws(" ", "kind", "name")).alias("sig"), F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-    over = c.join(s, "file_id").where((F.col("a") <= F.col("end_line")) & (F.col("b") >= F.col("start_line")))
-    best = over.groupBy("chunk_id").agg(F.min_by(F.struct("sig", "id"), F.struct(F.col("b") - F.col("a"), "id")).alias("x"))
-    return best.select("chunk_id", F.col("x.sig").alias("signature"), F.col("x.id").alias("symbol_id"))
+    """Every chunk as a result of its file, with two terms that some names have."""
+    c = table(spark, sf, "chunks").select(F.lit(0).alias("query_id"), F.col("file_id").alias("index_id"), F.col("id").alias("chunk_id"), "path", "start_line", "end_line").distinct()
+    s = table(spark, sf, "symbols").withColumn("index_id", F.col("file_id"))
+    best = search.headline_symbols(c.withColumn("terms", F.array(F.lit("er"), F.lit("map"))), s)
+    return best.select("chunk_id", F.col("headline_signature").alias("signature"))
 
 
 _OUTLINE = (
@@ -424,5 +425,98 @@ def impact_tests(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(EDGES + " SELECT b AS to_path, count(DISTINCT a) AS n, min(a) AS first, max(a) AS last FROM e WHERE a <> b AND type IN ('imports', 'calls', 'references') GROUP BY 1")
 def expected_callers(spark: SparkSession, sf: str) -> DataFrame:
-    e = edges(spark, sf).where(F.col("type").isin("imports", "calls", "references") & (F.col("from_path") != F.col("to_path")))
-    return e.groupBy("to_path").agg(F.countDistinct("from_path").alias("n"), F.min("from_path").alias("first"), F.max("from_path").alias("last"))
+    return evaluation.expected_callers(edges(spark, sf))
+
+
+_ORDERED = " SELECT start, path, edge_type, n FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, confidence DESC, edge_type, path) AS n FROM {0}) WHERE n <= 10"
+
+
+@query(EDGES + _walk("x", "both", 2) + _ORDERED.format("x"))
+def neighbors_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    near = graph.ordered(graph.neighbors(edges(spark, sf), starts(spark, sf))).where(F.col("n") <= 10)
+    return _big(near.select("start", "path", "edge_type", "n"), "n")
+
+
+@query(_IMPACT + _ORDERED.format("affected"))
+def impact_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    i = graph.impact(edges(spark, sf), starts(spark, sf), 2, False).where(F.col("relation") == "affected_file")
+    return _big(graph.ordered(i).where(F.col("n") <= 10).select("start", "path", "edge_type", "n"), "n")
+
+
+@query(
+    EDGES
+    + _walk("callers", "in", 1, _CALLERS)
+    + ", f AS (SELECT start, path, min(struct_pack(a := hops, b := -confidence, c := edge_type)) AS o FROM callers GROUP BY ALL), "
+    "g AS (SELECT start, path, row_number() OVER (PARTITION BY start ORDER BY o, path) AS n FROM f) SELECT start AS task_id, array_to_string(list(path ORDER BY n), ',') AS found FROM g WHERE n <= 10 GROUP BY 1"
+)
+def eval_graph_arm(spark: SparkSession, sf: str) -> DataFrame:
+    t = starts(spark, sf).select(F.col("start").alias("id"), F.lit("callers").alias("type"), "index_id", F.col("start").alias("target_path"))
+    g = evaluation.graph_arm(edges(spark, sf), t).where(F.size("found_paths") > 0)
+    return g.select("task_id", F.array_join("found_paths", ",").alias("found"))
+
+
+# -- search with a graph between the corpus's files --------------------------------------------------------------------
+
+_LINKS = (
+    "links AS (SELECT a.path AS a, b.path AS b, ['imports', 'tests', 'calls', 'references'][(ascii(substr(sha256(a.path || b.path), 1, 1)) % 4) + 1] AS type "
+    "FROM (SELECT DISTINCT path FROM chunks) a JOIN (SELECT DISTINCT path FROM chunks) b ON substr(sha256(a.path), 1, 3) = substr(sha256(b.path), 4, 3)), "
+    "near AS (SELECT query_id, path FROM seeds UNION SELECT query_id, b FROM seeds JOIN links ON path = a UNION SELECT query_id, a FROM seeds JOIN links ON path = b)"
+)
+
+
+def links(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges between files of the corpus, drawn by hashes of their paths: the imports of the test tables lead nowhere."""
+    p = table(spark, sf, "chunks").select("path").distinct()
+    a = p.select(F.col("path").alias("from_path"), F.substring(F.sha2("path", 256), 1, 3).alias("h"))
+    b = p.select(F.col("path").alias("to_path"), F.substring(F.sha2("path", 256), 4, 3).alias("h"))
+    kind = F.get(F.array(*map(F.lit, ("imports", "tests", "calls", "references"))), F.pmod(F.ascii(F.sha2(F.concat("from_path", "to_path"), 256)), F.lit(4)))
+    return a.join(b, "h").select(F.lit("all").alias("index_id"), "from_path", "to_path", kind.alias("type"), F.lit(0.9).alias("confidence"))
+
+
+_GRAPHED = _SIGNALS.replace("sig AS (", _LINKS + ",\nsig AS (").replace("LEFT JOIN seeds s", "LEFT JOIN near s")
+
+
+@query(_GRAPHED + "SELECT query_id, id AS chunk_id, graph FROM sig")
+def search_signals_graph(spark: SparkSession, sf: str) -> DataFrame:
+    q = asked(spark, sf)
+    s = search.signals(search.candidates(corpus(spark, sf), q, 5, scope="global"), q, names(spark, sf), links(spark, sf))
+    return s.select("query_id", "chunk_id", "graph")
+
+
+_FIRST = _fuse(S.WEIGHTS).replace(_SIGNALS, _GRAPHED)
+
+
+@query(
+    _FIRST
+    + ", one AS (SELECT query_id, path FROM placed WHERE rank = 0) SELECT DISTINCT query_id, b AS path, type AS edge_type FROM one JOIN links ON a = path AND a <> b WHERE type IN ('imports', 'tests') "
+    "UNION SELECT query_id, a, type FROM one JOIN links ON b = path AND a <> b WHERE type IN ('imports', 'tests')"
+)
+def search_related(spark: SparkSession, sf: str) -> DataFrame:
+    q, e = asked(spark, sf), links(spark, sf)
+    page = search.search(corpus(spark, sf), names(spark, sf), e, q, 5, snippet="none", stem=False, scope="global", locale_order=False)
+    return search.related_to_first(page, q, e).select("query_id", "path", "edge_type")
+
+
+_ARMS = ", ".join(
+    f"arm_{i} AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY first, path) AS n FROM (SELECT query_id, path, min(rank) AS first FROM "
+    f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({' + '.join(f'{k} * {w[k]!r}' for k in ('fts', 'symbol', 'graph', 'code', 'path_hit', 'exact'))}, 9) DESC, path, start_line, id) - 1 AS rank FROM sig) WHERE rank < 20 GROUP BY ALL))"
+    for i, w in enumerate(S.redistributed(x, [k for k in x if k != "recency"]) for x in (S.WEIGHTS, S.LEXICAL, S.FTS_ONLY))
+)
+
+
+@query(
+    _SIGNALS + ", " + _ARMS + f", rg AS ({_GREP.replace('rank <= 10', 'rank <= 5')}), every AS (SELECT query_id, 'full' AS arm, path, n FROM arm_0 UNION ALL SELECT query_id, 'lexical', path, n FROM arm_1 UNION ALL "
+    "SELECT query_id, 'fts-only', path, n FROM arm_2 UNION ALL SELECT query_id, 'rg', path, rank FROM rg) SELECT query_id, arm, array_to_string(list(path ORDER BY n), ',') AS found FROM every WHERE n <= 5 GROUP BY ALL"
+)
+def eval_arms(spark: SparkSession, sf: str) -> DataFrame:
+    f = table(spark, sf, "corpus_files").withColumn("index_id", F.lit("all"))
+    r = evaluation.retrieval_arms(corpus(spark, sf), names(spark, sf), None, f, asked(spark, sf), 5, scope="global", stem=False, locale_order=False)
+    return r.select("query_id", "arm", F.array_join("found_paths", ",").alias("found"))
+
+
+@query("SELECT DISTINCT file_id, name, start_line, end_line FROM symbols")
+def symbols_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The declarations that the symbols table lists, as far as extraction finds them too: all of them."""
+    keys = ["file_id", "name", "start_line", "end_line"]
+    known = table(spark, sf, "symbols").select(*keys).distinct()
+    return extract.extract_symbols(table(spark, sf, "corpus_files")).select(*keys).distinct().join(known, keys, "left_semi")

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeseam.plans.lifecycle import SCAN, STORED
-from codeseam.session import table
+from codeseam.session import shared_folder, table
 from codeseam.streaming import jobs
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder in the space that all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/codeseam-stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark, 'streams')}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
