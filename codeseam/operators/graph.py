@@ -52,12 +52,33 @@ def _steps(edges: DataFrame, types: list[str] | None, direction: str, frontier:
         e = e.where(F.col("type").isin(*types))
     out = e.select("index_id", F.col("from_path").alias("node"), F.col("to_path").alias("next"), "type", "confidence")
     back = e.select("index_id", F.col("to_path").alias("node"), F.col("from_path").alias("next"), "type", "confidence")
-    if frontier is not None and is_small(frontier):
+    pruned = frontier is not None and is_small(frontier)
+    if pruned:
         out, back = (x.join(F.broadcast(frontier), ["index_id", "node"], "left_semi") for x in (out, back))
     steps = out if direction == "out" else back if direction == "in" else out.unionByName(back)
+    if pruned:  # few steps can lead to many rows, so they are laid on all cores, whatever their size
+        context = edges.sparkSession.sparkContext
+        steps = steps.repartition(2 * context.defaultParallelism, "index_id", "node", "next", "type")
     return steps.groupBy("index_id", "node", "next", "type").agg(F.max("confidence").alias("confidence"))
 
 
+#: A node with more steps than this is met by several tasks, each with a share of its steps.
+HUB_STEPS = 50_000
+
+
+def _walked(reached: DataFrame, steps: DataFrame) -> DataFrame:
+    """``reached`` (``index_id, start, node``) with the steps from each node. A hub's steps are never in one task: a small
+    ``reached`` goes to where the steps are, which lie apart; else both sides of a hub are split in as many parts as it needs."""
+    if is_small(reached):
+        return steps.join(F.broadcast(reached), ["index_id", "node"])
+    hubs = steps.groupBy("index_id", "node").count().where(F.col("count") > HUB_STEPS)
+    hubs = broadcast_if_small(checkpointed(hubs.select("index_id", "node", F.ceil(F.col("count") / HUB_STEPS).cast("int").alias("_parts"))))
+    parts = F.coalesce("_parts", F.lit(1))
+    many = steps.join(hubs, ["index_id", "node"], "left").withColumn("_part", F.pmod(F.xxhash64("next"), parts).cast("int")).drop("_parts")
+    from_ = reached.join(hubs, ["index_id", "node"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return from_.join(many, ["index_id", "node", "_part"]).drop("_part")
+
+
 def neighbors(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, depth: int = 2, direction: str = "both") -> DataFrame:
     """``starts``: ``index_id, start``. Gives ``index_id, start, path, edge_type, hops, confidence``.
 
@@ -70,17 +91,17 @@ def neighbors(edges: DataFrame, starts: DataFrame, types: list[str] | None = Non
     depth = min(max(1, depth), MAX_DEPTH)
     begin = checkpointed(starts.select("index_id", "start").distinct())
     frontier = lambda rows, column: rows.select("index_id", F.col(column).alias("node")).distinct()
-    one = begin.join(_steps(edges, types, direction, frontier(begin, "start")).withColumnRenamed("node", "start"), ["index_id", "start"])
+    one = _walked(begin.withColumn("node", F.col("start")), _steps(edges, types, direction, frontier(begin, "start"))).drop("node")
     one = checkpointed(one) if depth > 1 else one
     rows = one.select("index_id", "start", F.col("next").alias("path"), "type", "confidence", F.lit(1).alias("hops"))
     if depth > 1:
         reached = one.select("index_id", "start", F.col("next").alias("node")).distinct()
-        two = reached.join(_steps(edges, types, direction, frontier(one, "next")), ["index_id", "node"]).where(F.col("next") != F.col("start"))
+        two = _walked(reached, _steps(edges, types, direction, frontier(one, "next"))).where(F.col("next") != F.col("start"))
         two = checkpointed(two) if depth > 2 else two
         rows = rows.unionByName(two.select("index_id", "start", F.col("next").alias("path"), "type", "confidence", F.lit(2).alias("hops")))
     if depth > 2:
         ways = two.groupBy("index_id", "start", F.col("next").alias("node")).agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        three = ways.join(_steps(edges, types, direction, frontier(two, "next")), ["index_id", "node"]).where(
+        three = _walked(ways, _steps(edges, types, direction, frontier(two, "next"))).where(
             (F.col("next") != F.col("start")) & ~((F.col("low") == F.col("high")) & (F.col("low") == F.col("next")))
         )
         rows = rows.unionByName(three.select("index_id", "start", F.col("next").alias("path"), "type", "confidence", F.lit(3).alias("hops")))

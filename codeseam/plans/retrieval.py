@@ -14,7 +14,7 @@ from codeseam.functions import scoring as S
 from codeseam.functions import text as X
 from codeseam.operators import bm25, chunking, evaluation, extract, graph, search
 from codeseam.plans.textual import SPLIT, first_seen
-from codeseam.session import table
+from codeseam.session import checkpointed, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -326,6 +326,7 @@ starts AS (SELECT 'p' || p_partkey AS start FROM part WHERE p_partkey % 50 = 0)
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph, drawn once and written, as stored edges would be."""
     t = lambda name: table(spark, sf, name)
     node = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
 
@@ -338,7 +339,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     out = out.unionByName(e(t("supplier"), node("s", "s_suppkey"), node("n", "s_nationkey"), "references", 0.6))
     out = out.unionByName(e(t("nation"), node("n", "n_nationkey"), node("r", "n_regionkey"), "tests", 0.8))
     out = out.unionByName(e(t("lineitem").where(F.col("l_linenumber") == 7), node("tests/l", "l_linenumber"), node("p", "l_partkey"), "tests", 0.8).distinct())
-    return out.unionByName(e(t("part"), node("p", "p_partkey"), node("p", "p_partkey"), "defines", 1.0))
+    return checkpointed(out.unionByName(e(t("part"), node("p", "p_partkey"), node("p", "p_partkey"), "defines", 1.0)))
 
 
 def starts(spark: SparkSession, sf: str) -> DataFrame:
