@@ -21,10 +21,13 @@ DENIED_FOLDERS = (
 )
 DENIED_NAMES = [r"\.min\.js$", r"\.min\.css$", r"\.map$", r"(^|/)vendor/", r"\.bundle\.[a-z]+$"]
 # What makes a file a test.
-TEST_NAME = r"(?i)\.test\.[a-z]+$|\.spec\.[a-z]+$|_test\.[a-z]+$|\.test$|\.spec$|^test_"
+TEST_ENDS = [r"\.test\.[a-z]+$", r"\.spec\.[a-z]+$", r"_test\.[a-z]+$", r"\.test$", r"\.spec$"]
+TEST_BEGIN = "^test_"
 TEST_FOLDERS = ["__tests__", "tests", "test", "__test__"]
 IMPACT_TEST = r"(^|/)(__tests__|tests?)/|\.(test|spec)\.[cm]?[jt]sx?$"
 GENERATED = r"(?i)(^|/)(generated|vendor)(/|$)|\.(generated|gen)\.[^.]+$"
+#: Any of them, whatever the case.
+TEST_NAME = "(?i)" + "|".join([*TEST_ENDS, TEST_BEGIN])
 # Where an import without or with another extension may point.
 FALLBACK_EXTENSIONS = ".ts .tsx .mts .cts .js .jsx .mjs .cjs .d.ts .py .go .rs .java .rb .php .c .cpp".split()
 INDEX_FILES = "index.ts index.tsx index.js index.jsx index.mjs index.py __init__.py".split()
@@ -138,10 +141,9 @@ def test_targets(path: Column | str) -> Column:
     none = F.array().cast("array<string>")
     out = [
         F.when(base.rlike(suffix), F.array(join(folder, F.concat(F.regexp_replace(base, suffix, ""), dotted)), join(folder, F.regexp_replace(base, suffix, "")))).otherwise(none)
-        for suffix in TEST_NAME.removeprefix("(?i)").removesuffix("|^test_").split("|")
-        for suffix in ["(?i)" + suffix]
+        for suffix in ("(?i)" + end for end in TEST_ENDS)
     ]
-    out.append(F.when(base.rlike("(?i)^test_"), F.array(join(folder, F.regexp_replace(base, "(?i)^test_", "")))).otherwise(none))
+    out.append(F.when(base.rlike("(?i)" + TEST_BEGIN), F.array(join(folder, F.regexp_replace(base, "(?i)" + TEST_BEGIN, "")))).otherwise(none))
     parts = F.split(folder, "/")
     parent = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
     # only the first mark of a test is taken out of the name

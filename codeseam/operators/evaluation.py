@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -209,7 +211,7 @@ def freshness_probe(engine, files: DataFrame, seed: int = 42) -> dict[str, objec
     chosen = free.orderBy(_hashed(seed, "path"), "path").limit(1).head()
     if chosen is None:
         return {"attempted": False, "passed": False, "reason": "no file can be written to"}
-    word = "probe" + "".join(chr(97 + int(c, 16)) for c in f"{abs(hash((seed, chosen['path']))) % 16**8:08x}")
+    word = "probe" + hashlib.sha256(f"{seed}|{chosen['path']}".encode()).hexdigest()[:12]
     own = F.col("path") == chosen["path"]
     seen = lambda: engine.search(word, snippet="none").where(own).limit(1).count() > 0
     engine.ensure(files)

@@ -178,3 +178,42 @@ def test_latencies_are_not_gathered(spark):
             values = [x[8] for x in rows if x[8] is not None and key in ("", x[1])]
             assert (r["p50_ms"], r["p95_ms"]) == (S.percentile(values, 50), S.percentile(values, 95))
             assert r["samples"] == sum(key in ("", x[1]) for x in rows) and r["recall_ci"]["low"] == 1.0
+
+
+def test_thresholds_of_the_graph_arm(spark):
+    rows = [("full", 0.9, 0.4, 0.9, 0.1), ("graph", 0.5, 0.0, 0.9, 0.4), ("graph", 0.9, 0.0, 0.9, 0.5)]
+    a = spark.createDataFrame(rows, "arm string, recall double, rr double, success_rate double, precision double")
+    assert [r["missed"] for r in E.missed_thresholds(a).collect()] == [["rr"], ["recall", "graph_precision"], []]
+    assert [r["missed"] for r in E.missed_thresholds(a.drop("arm")).collect()] == [["rr"], ["recall", "rr"], ["rr"]]
+
+
+def test_quality_by_category(spark):
+    q = spark.createDataFrame([("a", 1), ("a", 6), ("b", None), ("b", 2)], "category string, rank int")
+    got = {r["category"]: (r["queries"], r["recall"], round(r["mrr"], 4), r["top1"]) for r in E.quality(q).collect()}
+    assert got == {"a": (2, 0.5, 0.5833, 0.5), "b": (2, 0.5, 0.25, 0.0), None: (4, 0.5, 0.4167, 0.25)}
+
+
+def test_numbers_within_a_hot_key(spark):
+    rows = [("hot", i) for i in range(500)] + [("a", 3), ("a", 1), (None, 2)]
+    df = spark.createDataFrame(rows, "type string, pos int").repartition(7)
+    got = {(r["type"], r["pos"]): r["nth"] for r in E.numbered(df, "type", "pos", "nth").collect()}
+    assert got == {**{("hot", i): i for i in range(500)}, ("a", 1): 0, ("a", 3): 1, (None, 2): 0}
+
+
+def test_unique_files_and_the_graph_arm(spark):
+    ranked = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "z", 0)], "query_id int, path string, rank int")
+    found = E.unique_files(ranked, 2, ["query_id"], [F.col("rank")])
+    assert {r["query_id"]: r["found_paths"] for r in found.collect()} == {1: ["a", "b"], 2: ["z"]}
+    edges = spark.createDataFrame([("i", "x", "t", "calls", 0.7), ("i", "y", "t", "imports", 0.9), ("i", "y", "t", "calls", 0.7), ("i", "s", "t", "tests", 0.8)], "index_id string, from_path string, to_path string, type string, confidence double")
+    tasks = spark.createDataFrame([("1", "callers", "i", "t"), ("2", "tests", "i", "t"), ("3", "callers", "i", None), ("4", "locate", "i", "t")], "id string, type string, index_id string, target_path string")
+    assert {r["task_id"]: r["found_paths"] for r in E.graph_arm(edges, tasks, 5).collect()} == {"1": ["y", "x"], "2": ["s"], "3": [], "4": []}
+
+
+def test_freshness_probe(spark, tmp_path):
+    from codeseam.engine import Engine
+
+    rows = [("i", "src/a.py", "python", "def f():\n    return 1\n"), ("i", "tests/b.py", "python", "x = 1\n"), ("i", "yarn.lock", None, "y\n")]
+    files = spark.createDataFrame(rows, "index_id string, path string, language string, content string")
+    got = E.freshness_probe(Engine(spark, f"file://{tmp_path}/s", "i"), files)
+    assert got == {"attempted": True, "passed": True, "path": "src/a.py", "modified_visible": True, "deleted_removed": True}
+    assert not E.freshness_probe(Engine(spark, f"file://{tmp_path}/t", "i"), files.where("path <> 'src/a.py'"))["attempted"]
